@@ -12,7 +12,7 @@ from . import text as tx
 
 #: Labelled rows a classifier is fitted on at most, and the characters of text they hold at most.
 MAX_TRAIN_ROWS = 8_000
-MAX_TRAIN_CHARS = 60_000_000
+MAX_TRAIN_CHARS = 30_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -24,17 +24,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int = M
     doc_id, as many as fit in `chars`.  Null texts, labels and ids are left out."""
     lab = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     lab = lab.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id", "y").limit(rows)
-    # at most `rows` rows of three numbers, whatever the input
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(F.broadcast(lab), "doc_id")
-    got = got.withColumn("n", F.length("text")).orderBy("o", "doc_id", F.xxhash64("text"))
-    texts, y, held = [], [], 0
-    for r in got.select("text", "y", "n").limit(rows).toLocalIterator():
-        if held + r["n"] > chars:
-            break
+    # at most `rows` rows of three numbers, whatever the input; their lengths tell how many fit
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = own.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("th")).join(F.broadcast(lab), "doc_id").groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.min("o").alias("o"), F.min("y").alias("y"))
+    chosen, held = [], 0
+    for r in size.orderBy("o", "doc_id", "th").limit(rows).collect():
         held += r["n"]
-        texts.append(r["text"])
-        y.append(r["y"])
-    return texts, np.array(y, np.float64)
+        if held > chars:
+            break
+        chosen.append((r["doc_id"], r["th"], len(chosen), r["y"]))
+    if not chosen:
+        return [], np.empty(0)
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, th long, place int, y int")
+    got = own.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "th"]).select("place", "text")
+    texts = dict.fromkeys(range(len(chosen)), "")
+    for r in got.toLocalIterator():
+        texts[r["place"]] = r["text"]
+    return list(texts.values()), np.array([c[3] for c in chosen], np.float64)
 
 
 def auc(score: np.ndarray, y: np.ndarray) -> float:
@@ -50,6 +56,10 @@ def auc(score: np.ndarray, y: np.ndarray) -> float:
     return float((rank[y == 1].sum() - n1 * (n1 + 1) / 2) / max(n1 * (len(y) - n1), 1))
 
 
+#: What a word is seen as: itself, its first four, five and six letters, and its last four.
+VIEWS = ("word", "first 4", "first 5", "first 6", "last 4")
+
+
 class Vocabulary:
     """Texts as codes of distinct words; each word as a few hashed features: itself, and its first and last
     letters, so that inflected and unseen forms share some."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as tx
-from .features import Vocabulary, held_out, training_rows
+from .features import VIEWS, Vocabulary, held_out, training_rows
 
 BITS = 18
 
@@ -43,39 +43,52 @@ class Model:
         return -np.expm1(clean)
 
 
+def _parts(texts: list[str], size: int = 400):
+    """(place of the first, vocabulary) of runs of the texts, so that memory does not grow with their number."""
+    for i in range(0, len(texts), size):
+        yield i, Vocabulary(pa.array(texts[i : i + size], pa.large_string()), BITS)
+
+
 def fit(texts: list[str], y: np.ndarray, epochs: int = 80, rate: float = 0.1, l2: float = 1e-5, sure: float = 4.0) -> Model:
     """Full-batch Adam on the noisy-or log loss, from the log odds of the features that stand in more toxic
     training documents than chance puts there, by `sure` standard deviations; other features weigh nothing."""
     weights = np.zeros(1 << BITS)
     if not len(y) or y.min() == y.max():
         return Model(weights, -60.0 if not len(y) or y.max() == 0 else 0.0)
-    v = Vocabulary(pa.array(texts, pa.large_string()), BITS)
-    off, text_off = v.sentences()
-    sentence = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    text = np.repeat(np.arange(len(y)), np.diff(text_off))
-    keep = v.is_word[v.code]
-    code, sentence = v.code[keep].astype(np.int64), sentence[keep]
-    owner = text[sentence]
-    slots, local = np.unique(v.features, return_inverse=True)
-    local = local.reshape(v.features.shape)
-    pairs = np.unique(owner * len(v.raw) + code)
-    in_doc, of_word = pairs // len(v.raw), pairs % len(v.raw)
-    held = np.unique((in_doc[:, None] * len(slots) + local[of_word]).ravel())
-    toxic = y[held // len(slots)] == 1
-    with_it, without = (np.bincount(held[t] % len(slots), minlength=len(slots)) for t in (toxic, ~toxic))
+    with_it, without = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for first, v in _parts(texts):
+        text = np.repeat(np.arange(len(v.off) - 1), np.diff(v.off))
+        keep = v.is_word[v.code]
+        pairs = np.unique(text[keep] * len(v.raw) + v.code[keep])
+        owner, word = pairs // len(v.raw), pairs % len(v.raw)
+        held = np.unique((owner[:, None] << BITS) | v.features[word])
+        toxic = y[first + (held >> BITS)] == 1
+        feature = held & ((1 << BITS) - 1)
+        with_it += np.bincount(feature[toxic], minlength=1 << BITS)
+        without += np.bincount(feature[~toxic], minlength=1 << BITS)
     share, seen = y.mean(), with_it + without
     used = with_it - seen * share > sure * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     used &= with_it >= 3
     odds = np.log((with_it + 0.1) / (y.sum() + 0.2)) - np.log((without + 0.1) / (len(y) - y.sum() + 0.2))
-    w, b = np.where(used, odds / local.shape[1], 0.0), -6.0
     # only words with a feature in use take part from here on
-    some = np.flatnonzero(used[local].any(1))
-    place = np.full(len(v.raw), -1)
-    place[some] = np.arange(len(some))
-    live = place[code] >= 0
-    code, sentence, local = place[code[live]], sentence[live], local[some]
+    codes, sentences, owners, views, n_words, n_sent = [], [], [], [], 0, 0
+    for first, v in _parts(texts):
+        off, text_off = v.sentences()
+        live = v.is_word & used[v.features].any(1)
+        place = np.cumsum(live) - 1 + n_words
+        at = np.flatnonzero(live[v.code])
+        codes.append(place[v.code[at]])
+        sentences.append(np.searchsorted(off, at, side="right") - 1 + n_sent)
+        owners.append(first + np.repeat(np.arange(len(text_off) - 1), np.diff(text_off)))
+        views.append(v.features[live])
+        n_words += int(live.sum())
+        n_sent += len(off) - 1
+    code, sentence, text, local = (np.concatenate(x) for x in (codes, sentences, owners, views))
+    slots, local = np.unique(local, return_inverse=True)
+    local = local.reshape(-1, len(VIEWS))
+    used = used[slots]
+    w, b = np.where(used, odds[slots] / len(VIEWS), 0.0), -6.0
     m, s, mb, sb = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
-    n_words, n_sent = len(some), len(off) - 1
     for t in range(1, epochs + 1):
         word = w[local].sum(1)
         z = np.bincount(sentence, word[code], n_sent) + b
