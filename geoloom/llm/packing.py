@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .store import cut
-from .tokens import CACHE, MARKS, encode_each, load
+from .tokens import CACHE, TOKEN_BYTES, encode_each, load, split_marks
 
 CAPACITY = 4096
 END_ID = 1
-#: The emptiest bins that the local search tries to empty in a round.
-DONORS = 48
+#: The emptiest bins that the local search tries to empty in a round, and those it exchanges with.
+DONORS = 16
+RECEIVERS = 64
 
 
 class WordIds:
@@ -41,44 +43,51 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.core: dict[str, int] = {}
+        self.at: dict[str, int] = {}
         self.flat = [np.empty(0, np.uint32)]
         self.ends = [np.zeros(1, np.int64)]
 
-    def _known(self, parts: list[str]) -> None:
-        fresh = list(dict.fromkeys(p for p in parts if p not in self.core))
-        ids, off = encode_each(self.library, fresh, "")
-        self.core.update(zip(fresh, range(len(self.core), len(self.core) + len(fresh))))
-        self.flat.append(ids)
-        self.ends.append(off[1:] + self.ends[-1][-1])
-        if len(self.flat) > 64:
-            self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
-
-    def _codes(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each name, the entries of its letters and of its closing marks (of "" if none)."""
-        if len(self.core) > CACHE:
+    def _places(self, names: pa.Array) -> np.ndarray:
+        """The entry of each name in the table."""
+        coded = names.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        place = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [words[i] for i in fresh]
+            alpha = pc.utf8_is_alpha(coded.dictionary.take(pa.array(fresh))).to_numpy(zero_copy_only=False)
+            ids, off = encode_each(self.library, new, alpha, "")
+            place[fresh] = np.arange(len(self.at), len(self.at) + len(new))
+            self.at.update(zip(new, place[fresh].tolist()))
+            self.flat.append(ids)
+            self.ends.append(off[1:] + self.ends[-1][-1])
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _ids_of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all names joined, offsets)."""
+        if len(self.at) > CACHE:
             self._clear()
-        core = [p.rstrip(MARKS) for p in names]
-        core = [c if c.isalpha() else p for c, p in zip(core, names)]
-        tail = [p[len(c) :] for c, p in zip(core, names)]
-        self._known(core + tail)
-        of = self.core
-        return np.fromiter((of[c] for c in core), np.int64, len(core)), np.fromiter((of[t] for t in tail), np.int64, len(tail))
+        core, tail = split_marks(names)
+        place = np.stack([self._places(core), self._places(tail)], 1).ravel()
+        self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
+        start = self.ends[0][place]
+        length = self.ends[0][place + 1] - start
+        return self.flat[0][tx.ragged(start, length)], np.concatenate([[0], np.cumsum(length)])[::2]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by end_id; offsets)."""
         lists = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
-        off = 2 * tx.offsets_of(lists)
+        off = tx.offsets_of(lists)
         coded = lists.flatten().dictionary_encode()
-        code = np.stack(self._codes(coded.dictionary.to_pylist()), 1)[coded.indices.to_numpy(zero_copy_only=False)].ravel()
-        flat, ends = np.concatenate(self.flat), np.concatenate(self.ends)
-        start = ends[code]
-        length = ends[code + 1] - start
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends = self._ids_of(coded.dictionary)
+        start, length = ends[code], np.diff(ends)[code]
         before = np.concatenate([[0], np.cumsum(length)])[off]
         out_off = before + np.arange(len(off))
         out = np.full(int(out_off[-1]), end_id, np.uint32)
-        rows = np.repeat(np.arange(len(texts)), np.diff(before))
-        out[np.arange(int(before[-1])) + rows] = flat[tx.ragged(start, length)]
+        mine = np.ones(len(out), bool)
+        mine[out_off[1:] - 1] = False
+        out[mine] = ids[tx.ragged(start, length)]
         return out, out_off
 
 
@@ -88,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordIds(tokenizer)
         for batch in batches:
-            for part in tx.chunks(batch, "text"):
+            for part in tx.chunks(batch, "text", TOKEN_BYTES):
                 ids, off = table.encode(tx.column(part, "text"), end_id)
                 size = np.diff(off)
                 count = -(-size // capacity)
@@ -157,9 +166,10 @@ class _Bins:
         self._index(b)
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, patience: int = 16) -> list[list[int]]:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, patience: int = 8) -> list[list[int]]:
     """Bins as lists of indices into sizes (each at most capacity).  The search ends after `patience`
-    rounds over the DONORS emptiest bins; no item is ever left out."""
+    rounds over the DONORS emptiest bins, each exchanging with the RECEIVERS emptiest others; no item is ever
+    left out."""
     size = [int(s) for s in sizes]
     bins = _Bins(capacity)
     for i in sorted(range(len(size)), key=lambda i: (-size[i], i)):
@@ -189,9 +199,13 @@ def _step(bins: _Bins, donor: int, size: list[int]) -> bool:
                 _trade(bins, donor, b, (i,), (), size)
                 return True
         offers = [((i,), size[i]) for i in own] + [((i, j), size[i] + size[j]) for n, i in enumerate(own) for j in own[n + 1 :]]
+        tried = 0
         for f in sorted((f for f, found in bins.by_free.items() if f and found), reverse=True):
             best = None
-            for b in sorted(bins.by_free[f]):
+            if tried >= RECEIVERS:
+                break
+            for b in sorted(bins.by_free[f])[: RECEIVERS - tried]:
+                tried += 1
                 there = sorted(bins.items[b], key=lambda j: size[j])
                 wanted = [((j,), size[j]) for j in there] + [((j, k), size[j] + size[k]) for n, j in enumerate(there) for k in there[n + 1 :]]
                 for give, given in offers:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,11 @@ from pyspark.sql import DataFrame
 from . import text as tx
 
 #: Distinct chunks remembered by a worker before it starts afresh; bounds its memory.
-CACHE = 400_000
+CACHE = 1_000_000
+#: Bytes of text whose distinct words are looked up at once.
+TOKEN_BYTES = 6 << 20
+#: Words encoded as one text.
+RUN = 256
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x{85}]"
 _ODD = rf"{_WHITE} {_WHITE}|  |^ | $|^$|<\|"
 
@@ -42,29 +47,43 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_each(library, parts: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all parts joined, offsets), each part encoded as lead + part.  Parts of letters alone are
+def encode_each(library, parts: list[str], alpha: np.ndarray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all parts joined, offsets), each part encoded as lead + part.  Parts of letters alone (alpha) are
     encoded many at a time, as words of one text, which is what the tokenizer makes of them."""
-    ids: list[np.ndarray | list[int]] = [[]] * len(parts)
-    alone = []
-    alpha = []
-    for i, p in enumerate(parts):
-        (alpha if p.isalpha() else alone).append(i)
-    runs = [alpha[i : i + 256] for i in range(0, len(alpha), 256)]
-    joined = library.encode_batch([lead + " ".join(parts[i] for i in run) for run in runs], add_special_tokens=False)
-    for run, e in zip(runs, joined):
+    words = np.flatnonzero(alpha)
+    runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+    flat, sizes, order, alone = [], [], [], [np.flatnonzero(~alpha)]
+    for run, e in zip(runs, library.encode_batch([lead + " ".join([parts[i] for i in run]) for run in runs], add_special_tokens=False)):
         word = np.asarray(e.word_ids, np.int64)
         if not len(word) or word[-1] != len(run) - 1:  # the library sees other words in it: one by one
-            alone += run
+            alone.append(run)
             continue
-        cuts = np.searchsorted(word, np.arange(len(run) + 1))
-        own = np.asarray(e.ids, np.uint32)
-        for i, a, b in zip(run, cuts.tolist(), cuts[1:].tolist()):
-            ids[i] = own[a:b]
-    for i, e in zip(alone, library.encode_batch([lead + parts[i] for i in alone], add_special_tokens=False)):
-        ids[i] = e.ids
-    off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-    return (np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.empty(0, np.uint32)), off
+        flat.append(np.asarray(e.ids, np.uint32))
+        sizes.append(np.bincount(word, minlength=len(run)))
+        order.append(run)
+    rest = np.concatenate(alone)
+    ids = [e.ids for e in library.encode_batch([lead + parts[i] for i in rest], add_special_tokens=False)]
+    sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+    flat.append(np.fromiter((i for own in ids for i in own), np.uint32, int(sizes[-1].sum())))
+    order.append(rest)
+    where = np.concatenate(order)
+    size = np.concatenate(sizes)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
+    place = np.empty(len(parts), np.int64)
+    place[where] = np.arange(len(parts))
+    return np.concatenate(flat)[tx.ragged(start[place], size[place])], np.concatenate([[0], np.cumsum(size[place])])
+
+
+def split_marks(names: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each name without its closing marks, if that is letters alone (else whole), and the marks taken off."""
+    bare = pc.utf8_rtrim(names, characters=MARKS)
+    letters = pc.utf8_is_alpha(bare)
+    core = pc.if_else(letters, bare, names)
+    cut = pc.subtract(pc.binary_length(names), pc.binary_length(core)).to_numpy(zero_copy_only=False)
+    tails = np.full(len(names), "", object)
+    some = np.flatnonzero(cut)
+    tails[some] = [n[-k:] for n, k in zip(names.take(pa.array(some)).to_pylist(), cut[some].tolist())]
+    return core, pa.array(tails, pa.large_string())
 
 
 class ChunkCounts:
@@ -74,26 +93,23 @@ class ChunkCounts:
         self.library = load(path)
         self.seen: dict[str, int] = {}
 
-    def _known(self, parts: list[str]) -> None:
-        fresh = list(dict.fromkeys(p for p in parts if p not in self.seen))
-        _, off = encode_each(self.library, fresh, " ")
-        self.seen.update(zip(fresh, np.diff(off).tolist()))
-
-    def _each(self, parts: list[str]) -> np.ndarray:
-        """Counts of " " + part: of the part without its closing marks, and of those."""
+    def _each(self, names: pa.Array) -> np.ndarray:
+        """Counts of " " + name: of the name without its closing marks, and of those."""
         if len(self.seen) > CACHE:
             self.seen.clear()
-        core = [p.rstrip(MARKS) for p in parts]
-        core = [c if c.isalpha() else p for c, p in zip(core, parts)]
-        self._known(core)
-        marks: dict[str, int] = {"": 0}
-        out = np.empty(len(parts), np.int64)
-        for i, (c, p) in enumerate(zip(core, parts)):
-            tail = p[len(c) :]
-            if tail not in marks:
-                marks[tail] = len(self.library.encode(tail, add_special_tokens=False))
-            out[i] = self.seen[c] + marks[tail]
-        return out
+        core, tail = split_marks(names)
+        coded = core.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        count = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(count < 0)
+        if len(fresh):
+            new = [words[i] for i in fresh]
+            alpha = pc.utf8_is_alpha(coded.dictionary.take(pa.array(fresh))).to_numpy(zero_copy_only=False)
+            count[fresh] = np.diff(encode_each(self.library, new, alpha, " ")[1])
+            self.seen.update(zip(new, count[fresh].tolist()))
+        marks = tail.dictionary_encode()
+        of_mark = np.array([len(self.library.encode(m, add_special_tokens=False)) for m in marks.dictionary.to_pylist()], np.int64)
+        return count[coded.indices.to_numpy(zero_copy_only=False)] + of_mark[marks.indices.to_numpy(zero_copy_only=False)]
 
     def _heads(self, parts: list[str]) -> np.ndarray:
         return np.array([len(e) for e in self.library.encode_batch(parts, add_special_tokens=False)], np.int64)
@@ -112,10 +128,9 @@ class ChunkCounts:
         first[off[:-1]] = True
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        names = coded.dictionary.to_pylist()
-        count = self._each(names)[codes]
+        count = self._each(coded.dictionary)[codes]
         heads, where = np.unique(codes[first], return_inverse=True)
-        count[first] = self._heads([names[i] for i in heads])[where]
+        count[first] = self._heads(coded.dictionary.take(pa.array(heads)).to_pylist())[where]
         out[~odd] = np.add.reduceat(count, off[:-1])
         return out
 
@@ -126,7 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkCounts(tokenizer)
         for batch in batches:
-            for part in tx.chunks(batch, "text"):
+            for part in tx.chunks(batch, "text", TOKEN_BYTES):
                 texts = tx.column(part, "text")
                 n = table.count(texts)
                 size = pc.binary_length(texts).cast(pa.int64())
