@@ -1,14 +1,19 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words.  Tokens are ordered by rarity (a count table of fixed size over all lines;
-ties and shared cells by hash, so the order is one and the same everywhere), and lines are joined on the
-tokens of their prefix, under the length and positional filters; Jaccard similarity on the whole sets verifies.
-A line goes if an earlier line (in order of doc_id, then hash of the text, then place) has a similarity of at
-least the threshold, whether or not that one stays.
+A line is the set of its words.  Tokens are ordered by rarity, and lines are joined on the tokens of their
+prefix, under the length and positional filters; Jaccard similarity on the whole sets verifies.  A line goes
+if an earlier line (in order of doc_id, then hash of the text, then place) has a similarity of at least the threshold,
+whether or not that one stays.
+
+Rarity comes from tables of fixed size that count all words: words that no other line can hold (seen once)
+come first, then by the count of a word's cell, ties by hash; any such order is the same for all lines, so
+shared cells cost time but no result.  Words seen once join nothing and are not emitted.  The join carries
+32-bit hashes of words (shared ones cost time only) and a parity signature of each set: sets differ in at least
+as many words as their signatures do in bits, which rules out nearly all pairs that share a rare word by chance.
 
 Groups of copies cost no pairs: equal sets are one class, whose first line stands for it; and a class is first
-compared to the first class at each of its tokens only, which decides nearly all; what is left undecided is
-compared to all earlier ones.
+compared to BEFORE earlier ones that share one of two least hashes of their prefixes (in one of SALTS shares of those), which decides
+nearly all of a large group; what is left undecided is compared to all earlier ones.  Only lines in candidate pairs are read again for their whole sets.
 
 Lines are separated by "\\n".  Lines without words always stay.  Null texts stay null; documents of which no
 line with words stays keep their blank lines, or go in `dedup_documents(drop_emptied=True)`.  Rows that repeat
@@ -18,150 +23,235 @@ tables give empty results; extra columns are kept (one named n_lines_removed giv
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import bitmap, cut, hit
-
-#: Cells of the rarity table, which is all that the driver gathers (2 MB at 18 bits).
-RARITY_BITS = 18
-_WORDY = re.compile(r"[^\W_]")
-
-
-class _Lines:
-    """The lines of some texts as sets of token hashes."""
-
-    def __init__(self, texts: pa.Array):
-        lists = pc.split_pattern(texts, "\n")
-        self.text_off = tx.offsets_of(lists)
-        word, off = tx.words(lists.flatten())
-        self.token, self.off = tx.distinct(word, off)
-        self.size = np.diff(self.off)
-        self.text = np.repeat(np.arange(len(texts)), np.diff(self.text_off))
-        self.number = np.arange(len(self.text)) - self.text_off[self.text]
-        with np.errstate(over="ignore"):
-            self.key = tx.mix(tx.segments(np.add, tx.mix(self.token, 3), self.off, np.uint64(0)) + self.size.astype(np.uint64), 4).view(np.int64)
-
-
-def _lines(part: pa.RecordBatch) -> _Lines:
-    return _Lines(tx.column(part, "text"))
-
-
-def _rarity(docs: DataFrame) -> np.ndarray:
-    """How many words fall into each cell of the rarity table."""
-    mask = np.uint64((1 << RARITY_BITS) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
+from .store import bitmap, cut, hit, small
+
+#: Cells of the count table (2 MB), and bits of the tables of words seen once and twice (2 MB each): all that the
+#: driver gathers, whatever the data.
+COUNT_BITS = 18
+SEEN_BITS = 24
+_SLICES = 64
+#: Shares of the classes of a least hash in the first comparison, so that a large group is several tasks' work, and the
+#: earlier classes that a class is then compared to.
+SALTS = 8
+BEFORE = 16
+
+
+class _Rarity:
+    """Mergeable tables: counts by cell, and bits of words seen, and seen again."""
+
+    def __init__(self):
+        self.count = np.zeros(1 << COUNT_BITS, np.int64)
+        self.once = np.zeros(1 << SEEN_BITS, bool)
+        self.again = np.zeros(1 << SEEN_BITS, bool)
+
+    def add(self, known: np.ndarray, times: np.ndarray) -> None:
+        self.count += np.bincount((known & np.uint64(len(self.count) - 1)).astype(np.int64), times, len(self.count)).astype(np.int64)
+        cell, n = np.unique((known >> np.uint64(64 - SEEN_BITS)).astype(np.int64), return_inverse=True)
+        n = np.bincount(n, times)
+        self.again[cell[self.once[cell] | (n > 1)]] = True
+        self.once[cell] = True
+
+    def rows(self) -> pa.RecordBatch:
+        cuts = lambda a: [x.tobytes() for x in np.split(a, _SLICES)]
+        bits = lambda a: cuts(np.packbits(a))
+        return pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "count": pa.array(cuts(self.count), pa.binary()), "once": pa.array(bits(self.once), pa.binary()), "again": pa.array(bits(self.again), pa.binary())})
+
+
+def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(count by cell, whether a word may be seen twice by bit) over all words."""
+    schema = "slice int, count binary, once binary, again binary"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Rarity()
         for batch in batches:
-            for part in tx.chunks(batch, "text"):
-                word, _ = tx.words(tx.column(part, "text"))
-                total += np.bincount((word & mask).astype(np.int64), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+            for part in tx.chunks(batch, "text", 3 * tx.CHUNK_BYTES):
+                table.add(*tx.counted(tx.column(part, "text")))
+        yield table.rows()
 
-    rows = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def _classes(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
-    """A row for each distinct token set: key, size, first line (doc_id, th, line), prefix (rarest tokens)."""
-    order = np.minimum(rarity, (1 << 32) - 1).astype(np.uint32)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                count, once, again = np.frombuffer(r["count"], np.int64), np.frombuffer(r["once"], np.uint8), np.frombuffer(r["again"], np.uint8)
+                old = held.get(r["slice"])
+                held[r["slice"]] = [old[0] + count, old[1] | once, old[2] | again | (old[1] & once)] if old else [count, once, again]
+        names = list(held)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(names, pa.int32()), **{c: pa.array([held[k][i].tobytes() for k in names], pa.binary()) for i, c in enumerate(("count", "once", "again"))}})
+
+    out = docs.select("text").mapInArrow(gather, schema).repartition(_SLICES // 8, "slice").mapInArrow(merge, schema)
+    rows = sorted((r["slice"], r["count"], r["again"]) for r in out.toLocalIterator())
+    if not rows:
+        return np.zeros(1 << COUNT_BITS, np.int64), np.zeros(1 << SEEN_BITS, bool)
+    return np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.int64), np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8)
+
+
+def _line_key(th: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place: the hash of its text, and its number."""
+    return tx.mix(th.view(np.uint64) ^ tx.mix(line.astype(np.uint64), 2)).view(np.int64)
+
+
+def _signatures(token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of parity bits for each set: the low and the high half of 128."""
+    place = tx.mix(token, 8)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    low = (place >> np.uint64(6)) & np.uint64(1) == 0
+    halves = (np.where(low, bit, np.uint64(0)), np.where(low, np.uint64(0), bit))
+    return tuple(tx.segments(np.bitwise_xor, h, off, np.uint64(0)) for h in halves)
+
+
+def _classes(docs: DataFrame, rarity: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """A row for each distinct token set: id (ascending in the order of first lines), doc_id, th, line of the first,
+    size, low and high (a parity signature), m1 and m2 (least hashes of its prefix under two orders), and the prefix as
+    tokens and places of words seen twice."""
+    count = np.minimum(rarity[0], (1 << 31) - 1).astype(np.int32)
+    again = rarity[1]
     least = threshold / (1 - threshold)  # a smaller set is similar to none but itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(again).view(bool) if again.dtype == np.uint8 else again
         for batch in batches:
-            for part in tx.chunks(batch, "text"):
-                x = _lines(part)
-                rank = order[(x.token & np.uint64(len(order) - 1)).astype(np.int64)]
-                line = np.repeat(np.arange(len(x.size)), x.size)
-                by = np.lexsort((x.token, rank, line))
-                token = x.token[by]
-                prefix = np.where(x.size >= least - 1e-9, x.size - np.ceil(threshold * x.size - 1e-9).astype(np.int64) + 1, 0)
-                some = np.flatnonzero(x.size > 0)
-                length = prefix[some]
-                picked = token[tx.ragged(x.off[:-1][some], length)].view(np.int64)
-                at = pa.array(x.text[some])
+            for part in tx.chunks(batch, "text", 3 * tx.CHUNK_BYTES):
+                lists = pc.split_pattern(tx.column(part, "text"), "\n")
+                text_off = tx.offsets_of(lists)
+                code, off, known = tx.coded(lists.flatten())
+                twice = seen[(known >> np.uint64(64 - SEEN_BITS)).astype(np.int64)]
+                order = np.lexsort((known, count[(known & np.uint64(len(count) - 1)).astype(np.int64)], twice))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                known, twice = known[order], twice[order]
+                code, off = tx.distinct_codes(place[code] if len(code) else code, off)
+                size = np.diff(off)
+                some = np.flatnonzero(size > 0)
+                token = known[code] if len(code) else np.empty(0, np.uint64)
+                with np.errstate(over="ignore"):
+                    key = tx.mix(tx.segments(np.add, tx.mix(token, 3), off, np.uint64(0)) + size.astype(np.uint64), 4).view(np.int64)[some]
+                length = np.where(size >= least - 1e-9, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)[some]
+                at = tx.ragged(off[:-1][some], length)
+                owner = np.repeat(np.arange(len(some)), length)
+                pos = at - np.repeat(off[:-1][some], length)
+                live = twice[code[at]] if len(at) else np.empty(0, bool)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[live], minlength=len(some)))])
+                low, high = (x[some].view(np.int64) for x in _signatures(token, off))
+                rare = token[at[live]]
+                least_two = [tx.segments(np.minimum, tx.mix(rare, k), cuts, np.uint64(0)).view(np.int64) for k in (31, 32)]
+                text = np.repeat(np.arange(part.num_rows), np.diff(text_off))[some]
+                line = some - text_off[text]
+                row = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(x.key[some]), pa.array(x.size[some].astype(np.int32)), part.column(0).take(at), part.column(2).take(at),
-                        pa.array(x.number[some].astype(np.int32)), tx.list_array(picked, np.concatenate([[0], np.cumsum(length)])),
+                        pa.array(key), pa.array(size[some].astype(np.int32)), part.column(0).take(row), part.column(2).take(row), pa.array(line.astype(np.int32)),
+                        pa.array(low), pa.array(high), pa.array(least_two[0]), pa.array(least_two[1]), tx.list_array((tx.mix(rare, 9) >> np.uint64(32)).astype(np.uint32).view(np.int32), cuts), tx.list_array(pos[live].astype(np.int32), cuts),
                     ],
-                    ["key", "size", "doc_id", "th", "line", "prefix"],
+                    ["key", "size", "doc_id", "th", "line", "low", "high", "m1", "m2", "tokens", "places"],
                 )
 
-    rows = docs.mapInArrow(run, "key long, size int, doc_id long, th long, line int, prefix array<long>")
-    return rows.groupBy("key").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "th", "line")).alias("first"), F.first("prefix").alias("prefix"))
+    rows = docs.mapInArrow(run, "key long, size int, doc_id long, th long, line int, low long, high long, m1 long, m2 long, tokens array<int>, places array<int>")
+    rows = rows.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line", "size", "low", "high", "m1", "m2", "tokens", "places")).alias("f")).select("f.*")
+    # range partitions, sorted: row ids then ascend in the order of first lines
+    rows = rows.repartitionByRange("doc_id", "th", "line").sortWithinPartitions("doc_id", "th", "line")
+    return rows.withColumn("id", F.monotonically_increasing_id())
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(key, tokens) of lines whose key may be wanted; each once per task."""
+    """(k, tokens) of lines whose place may be wanted; each once per task.  Other lines are not read for words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
             for part in tx.chunks(batch, "text"):
-                x = _lines(part)
-                rows = [i for i in np.flatnonzero(hit(wanted, x.key) & (x.size > 0)) if x.key[i] not in given and not given.add(x.key[i])]
+                lists = pc.split_pattern(tx.column(part, "text"), "\n")
+                off = tx.offsets_of(lists)
+                text = np.repeat(np.arange(part.num_rows), np.diff(off))
+                k = _line_key(part.column(2).to_numpy()[text], np.arange(len(text)) - off[text])
+                rows = [i for i in np.flatnonzero(hit(wanted, k)) if k[i] not in given and not given.add(k[i])]
                 if rows:
-                    rows = np.array(rows)
-                    length = x.size[rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x.key[rows]), tx.list_array(x.token[tx.ragged(x.off[:-1][rows], length)].view(np.int64), np.concatenate([[0], np.cumsum(length)]))],
-                        ["key", "tokens"],
-                    )
+                    code, w_off, known = tx.coded(lists.flatten().take(pa.array(rows)))
+                    code, w_off = tx.distinct_codes(code, w_off)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[rows]), tx.list_array(known[code].view(np.int64) if len(code) else np.empty(0, np.int64), w_off)], ["k", "tokens"])
 
-    return docs.mapInArrow(run, "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    return docs.mapInArrow(run, "k long, tokens array<long>").groupBy("k").agg(F.first("tokens").alias("tokens"))
 
 
-def _possible(x: str, y: str, threshold: float):
-    """Length and positional filters for two prefix rows that share a token."""
-    need = f"ceil({threshold / (1 + threshold)!r}D * ({x}.size + {y}.size) - 1e-9)"
-    left = f"1 + least({x}.size - {x}.pos, {y}.size - {y}.pos) - 1"
-    return F.expr(f"least({x}.size, {y}.size) >= {threshold}D * greatest({x}.size, {y}.size) - 1e-9 and {left} >= {need}")
+def _possible(x: str, y: str, threshold: float, placed: bool = True) -> str:
+    """Signature, length and (of two prefix rows that share a token) positional filters, on columns x_size and so on."""
+    differ = f"bit_count({x}_low ^ {y}_low) + bit_count({x}_high ^ {y}_high) <= {(1 - threshold) / (1 + threshold)!r}D * ({x}_size + {y}_size) + 1e-9D"
+    need = f"{threshold / (1 + threshold)!r}D * ({x}_size + {y}_size) - 1e-9D"
+    return f"{differ} and least({x}_size, {y}_size) >= {threshold}D * greatest({x}_size, {y}_size) - 1e-9D" + f" and least({x}_size - {x}_pos, {y}_size - {y}_pos) >= {need}" * placed
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The keys of those pairs (key, other) whose sets are similar."""
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The ids of those pairs (id, other) whose sets are similar."""
     pairs = cut(pairs)
-    wanted = bitmap(pairs.select(F.explode(F.array("key", "other")).alias("key")), "key")
-    sets = _sets(docs, wanted)
-    both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("other"), F.col("tokens").alias("others")), "other")
-    common = F.size(F.array_intersect("tokens", "others"))
-    jaccard = common / (F.size("tokens") + F.size("others") - common)
-    return both.where(jaccard >= threshold - 1e-12).select("key").distinct()
+    ids = cut(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct())
+    classes = cut(classes.select("id", "th", "line").join(small(ids), "id", "left_semi"))
+    own = lambda n, s: classes.select(F.col("id").alias(n), *[F.col(c).alias(c[0] + s) for c in ("th", "line")])
+    named = pairs.join(own("id", "a"), "id").join(own("other", "b"), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ka, kb = (_line_key(b.column(i).to_numpy(), b.column(i + 1).to_numpy()) for i in (1, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ka), pa.array(kb)], ["id", "ka", "kb"])
+
+    named = cut(named.select("id", "ta", "la", "tb", "lb").mapInArrow(run, "id long, ka long, kb long"))
+    wanted = bitmap(named.select(F.explode(F.array("ka", "kb")).alias("k")), "k")
+    if not wanted.any():
+        return named.select("id").where("false")
+    texts = cut(classes.select("th").distinct())
+    sets = cut(_sets(docs.join(small(texts), "th", "left_semi").select("doc_id", "text", "th"), wanted))
+    both = named.join(sets.withColumnsRenamed({"k": "ka", "tokens": "a"}), "ka").join(sets.withColumnsRenamed({"k": "kb", "tokens": "b"}), "kb")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common / (F.size("a") + F.size("b") - common) >= threshold - 1e-12).select("id").distinct()
+
+
+def _prefixes(classes: DataFrame, x: str) -> DataFrame:
+    """A row (token, x_id, x_size, x_low, x_high, x_pos, x_open) for each token of a prefix."""
+    rows = classes.select("id", "size", "low", "high", "open", F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    return rows.select(F.col("p.tokens").alias("token"), *[F.col(c).alias(f"{x}_{c}") for c in ("id", "size", "low", "high")], F.col("p.places").alias(f"{x}_pos"), F.col("open").alias(f"{x}_open"))
+
+
+def _first_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, other): each class with up to BEFORE earlier ones that share one of two least hashes, in its share of
+    theirs.  Copies with small changes mostly do."""
+    least = F.explode(F.array("m1", "m2")).alias("least")
+    rows = classes.where(F.size("tokens") > 0).select(least, *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "low", "high")])
+    share = Window.partitionBy("least", F.pmod(F.xxhash64("x_id"), F.lit(SALTS))).orderBy("x_id")
+    one = F.struct(*[F.col(f"x_{c}").alias(f"y_{c}") for c in ("id", "size", "low", "high")])
+    test = _possible("x", "y", threshold, placed=False)
+    for c in ("size", "low", "high"):
+        test = test.replace(f"y_{c}", f"y.y_{c}")
+    rows = rows.withColumn("before", F.collect_list(one).over(share.rowsBetween(-BEFORE, -1))).where(F.size("before") > 0)
+    return rows.select("x_id", F.explode(F.expr(f"filter(before, y -> {test})")).alias("y")).select(F.col("x_id").alias("id"), F.col("y.y_id").alias("other")).distinct()
+
+
+def _other_pairs(classes: DataFrame, gone: DataFrame, threshold: float) -> DataFrame:
+    """(id, other): classes that are not gone with earlier ones.  The smaller set of a pair (the earlier of two of one size)
+    needs a shorter prefix than the larger."""
+    marked = classes.join(small(gone).withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull())
+    index = f"x_pos <= x_size - {2 * threshold / (1 + threshold)!r}D * x_size + 1e-9D"
+    both = _prefixes(marked, "x").where(index).join(_prefixes(marked, "y"), "token")
+    both = both.where(f"(x_size < y_size or (x_size = y_size and x_id < y_id)) and {_possible('x', 'y', threshold)} and case when x_id > y_id then x_open else y_open end")
+    return both.select(F.greatest("x_id", "y_id").alias("id"), F.least("x_id", "y_id").alias("other")).distinct()
 
 
 def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, th: hash of the text, line) of every line with words that stays."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
+    docs = docs.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     classes = cut(_classes(docs, _rarity(docs), threshold))
-    rows = classes.select("key", "size", "first", F.posexplode("prefix").alias("pos", "token"))
-    leads = rows.groupBy("token").agg(F.min(F.struct("first", "key", "size", "pos")).alias("lead"), F.max(F.struct("first", "key")).alias("end"))
-    leads = leads.where("lead.key <> end.key").select("token", "lead")
-    shared = rows.join(leads, "token")
-    first = shared.where("lead.key <> key").select(F.struct("size", "pos").alias("x"), F.col("lead").alias("y"), "key")
-    first = first.where(_possible("x", "y", threshold)).select("key", F.col("y.key").alias("other")).distinct()
-    gone = cut(_similar(first, docs, threshold))
-
-    # the others, against all earlier ones but the first, which they are not similar to
-    shared = shared.join(gone, "key", "left_anti")
-    x = shared.where("lead.key <> key").select("token", F.struct("key", "size", "pos", "first").alias("x"), F.col("lead.key").alias("lead"))
-    y = rows.select("token", F.struct("key", "size", "pos", "first").alias("y"))
-    rest = x.join(y, "token").where(F.expr("y.first < x.first and y.key <> lead")).where(_possible("x", "y", threshold))
-    rest = rest.select(F.col("x.key").alias("key"), F.col("y.key").alias("other")).distinct()
-    gone = gone.unionByName(_similar(rest, docs, threshold))
-    return classes.join(gone, "key", "left_anti").select("first.*")
+    gone = cut(_similar(_first_pairs(classes, threshold), classes, docs, threshold))
+
+    rest = _other_pairs(classes, gone, threshold)
+    gone = cut(gone.unionByName(_similar(rest, classes, docs, threshold)))
+    return classes.select("id", "doc_id", "th", "line").join(small(gone), "id", "left_anti").drop("id")
 
 
 def dedup_documents(docs: DataFrame, threshold: float = 0.8, drop_emptied: bool = False) -> DataFrame:
@@ -170,33 +260,16 @@ def dedup_documents(docs: DataFrame, threshold: float = 0.8, drop_emptied: bool
     docs = docs.drop("n_lines_removed")
     names = docs.columns
     kept = kept_lines(docs, threshold).groupBy("doc_id", "th").agg(F.collect_list("line").alias("__geoloom_kept"))
-    kept = kept.select(F.col("doc_id").alias("__geoloom_d"), F.col("th").alias("__geoloom_h"), "__geoloom_kept")
-    th = F.xxhash64(docs["text"].cast("string"))
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__geoloom_d"]) & (th == kept["__geoloom_h"]), "left").drop("__geoloom_d", "__geoloom_h")
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.chunks(batch, "text"):
-                texts, removed, emptied = [], [], []
-                for value, keep in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
-                    if value is None:
-                        texts.append(None)
-                        removed.append(0)
-                        emptied.append(False)
-                        continue
-                    keep = set(keep or ())
-                    lines = value.split("\n")
-                    stay = [x for i, x in enumerate(lines) if i in keep or not _WORDY.search(x)]
-                    texts.append("\n".join(stay))
-                    removed.append(len(lines) - len(stay))
-                    emptied.append(len(stay) < len(lines) and not keep)
-                cols = [part.column(i) for i in range(len(names))]
-                cols[at] = pa.array(texts, cols[at].type)
-                out = pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], [*names, "n_lines_removed"])
-                yield out.filter(pc.invert(pa.array(emptied, pa.bool_()))) if drop_emptied else out
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_removed", T.LongType())])
-    return joined.mapInArrow(run, schema)
+    kept = kept.withColumnsRenamed({"doc_id": "__geoloom_d", "th": "__geoloom_h"})
+    th = F.coalesce(F.xxhash64(docs["text"].cast("string")), F.lit(0))
+    # a row a document on the kept side, so that its share of a partition fits in a hash table and no text is sorted
+    kept = kept.hint("shuffle_hash")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__geoloom_d"]) & (th == kept["__geoloom_h"]), "left")
+    stays = F.coalesce("__geoloom_kept", F.array().cast("array<int>"))
+    lines = F.split(docs["text"], "\n", -1)
+    left = F.filter(lines, lambda x, i: F.array_contains(F.col("__geoloom_stays"), i) | ~x.rlike(r"[\p{L}\p{N}]"))
+    out = out.withColumn("__geoloom_stays", stays).withColumn("__geoloom_left", left)
+    removed = F.coalesce(F.size(lines) - F.size("__geoloom_left"), F.lit(0))
+    if drop_emptied:
+        out = out.where((F.size("__geoloom_stays") > 0) | (F.coalesce(F.size("__geoloom_left") == F.size(lines), F.lit(True))))
+    return out.select(*[F.array_join("__geoloom_left", "\n").alias("text") if c == "text" else F.col(c) for c in names], removed.cast("long").alias("n_lines_removed"))

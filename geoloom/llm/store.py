@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -24,14 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it again: lost executors cost no recomputation
-    of what lies before.  The table goes when the program ends."""
+    of what lies before.  The table goes when the program ends.  Spark removes the shuffle files of what nobody refers to
+    any more when the driver collects garbage, so it is asked to."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/geoloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one or two numbers that may be broadcast (16 MB at most).
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of one or two numbers a row, marked for broadcast if it has few rows; else joined as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def drop_written() -> None:
     """Delete the tables cut() wrote.  Only for when no result built on them is still to be read."""
     while _WRITTEN:

@@ -1,6 +1,6 @@
 """Vectorised word, shingle and hash primitives shared by the text operators.
 
-A *word* is a maximal run without white space, lower-cased, with everything that is neither
+A *word* is a maximal run without ASCII white space, lower-cased, with everything that is neither
 a letter nor a digit stripped from both ends; what is empty then is no word.  A null text
 counts as the empty text.  Words and shingles are carried as 64-bit hashes.
 """
@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+import re
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a Python worker; bounds its memory whatever the batch holds.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 _TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -32,11 +34,25 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+_BYTES = mix(np.arange(256), 17)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column without nulls."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, each with about `most` bytes of text or a single row."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
@@ -47,6 +63,7 @@ def chunks(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    trim()
 
 
 def offsets_of(lists: pa.Array) -> np.ndarray:
@@ -55,30 +72,70 @@ def offsets_of(lists: pa.Array) -> np.ndarray:
 
 
 def hashes(strings: pa.Array) -> np.ndarray:
-    """A stable 64-bit hash of each string."""
-    return pd.util.hash_array(np.asarray(strings.to_pylist(), dtype=object), categorize=False)
+    """A stable 64-bit hash of each string: of its bytes through a fixed table, weighted by place."""
+    strings = strings.cast(pa.large_string())
+    n = len(strings)
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    off = ends - ends[0]
+    size = np.diff(off)
+    with np.errstate(over="ignore"):
+        step = np.full(int(size.max(initial=0)) + 1, u64(0x9E3779B97F4A7C15), np.uint64)
+        step[0] = 1
+        power = np.multiply.accumulate(step)
+        value = _BYTES[data] * power[np.arange(len(data)) - np.repeat(off[:-1], size)]
+        return mix(segments(np.add, value, off, np.uint64(0)) + size.astype(np.uint64))
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, offsets of the texts in it)."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of every word, offsets of the texts in them, hash of every code).  Codes are ascending by hash."""
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
     off = offsets_of(lists)
     flat = lists.flatten()
     if not len(flat):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    coded = flat.dictionary_encode()
-    trimmed = pc.replace_substring_regex(coded.dictionary, pattern=_TRIM, replacement="")
+        return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.uint64)
+    raw = flat.dictionary_encode()
+    trimmed = _trimmed(raw.dictionary)
     keep = pc.greater(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
+    known, place = np.unique(hashes(trimmed), return_inverse=True)
+    codes = raw.indices.to_numpy(zero_copy_only=False)
+    if keep.all():
+        return place[codes], off, known
     kept = keep[codes]
-    moved = np.concatenate([[0], np.cumsum(kept)])[off]
-    return hashes(trimmed)[codes[kept]], moved
+    return place[codes[kept]], np.concatenate([[0], np.cumsum(kept)])[off], known
+
+
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, occurrences) of the words of all texts; a hash may come twice."""
+    flat = pc.ascii_split_whitespace(pc.utf8_lower(texts)).flatten()
+    if not len(flat):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    raw = flat.dictionary_encode()
+    times = np.bincount(raw.indices.to_numpy(zero_copy_only=False), minlength=len(raw.dictionary))
+    trimmed = _trimmed(raw.dictionary)
+    keep = pc.greater(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    return hashes(trimmed)[keep], times[keep]
+
+
+def _trimmed(names: pa.Array) -> pa.Array:
+    """Without what is neither letter nor digit at either end; most names have none, and only the others are searched."""
+    other = pc.invert(pc.utf8_is_alnum(names))
+    at = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return names
+    return pc.replace_with_mask(names, other, pc.replace_substring_regex(names.take(pa.array(at)), pattern=_TRIM, replacement=""))
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, offsets of the texts in it)."""
+    code, off, known = coded(texts)
+    return known[code] if len(code) else np.empty(0, np.uint64), off
 
 
 def plain_words(text: str | None) -> list[str]:
     """The same words one text at a time, for tests and fixtures."""
     out = []
-    for raw in (text or "").lower().split():
+    for raw in re.split(r"[ \t\n\r\f\v]+", (text or "").lower()):
         kept = [i for i, ch in enumerate(raw) if ch.isalpha() or ch.isnumeric()]
         if kept:
             out.append(raw[kept[0] : kept[-1] + 1])
@@ -129,12 +186,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def distinct(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each segment's distinct values, ascending, with new offsets."""
-    group = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((values, group))
-    v, g = values[order], group[order]
-    first = np.ones(len(v), bool)
-    first[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
-    return v[first], np.concatenate([[0], np.cumsum(np.bincount(g[first], minlength=len(off) - 1))]).astype(np.int64)
+    n = len(off) - 1
+    if n == 1:
+        v = np.unique(values)
+        return v, np.array([0, len(v)])
+    known, code = np.unique(values, return_inverse=True)
+    code, new_off = distinct_codes(code, off)
+    return known[code], new_off
+
+
+def distinct_codes(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """distinct() for small non-negative integers: one sort of (segment, code)."""
+    n = len(off) - 1
+    bits = int(code.max(initial=0)).bit_length()
+    key = np.repeat(np.arange(n, dtype=np.int64) << bits, np.diff(off)) | code.astype(np.int64)
+    key.sort()
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    key = key[first]
+    return key & ((1 << bits) - 1), np.concatenate([[0], np.cumsum(np.bincount(key >> bits, minlength=n))]).astype(np.int64)
 
 
 def list_array(values: np.ndarray, off: np.ndarray) -> pa.ListArray:
