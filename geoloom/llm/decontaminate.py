@@ -53,6 +53,7 @@ def _key(values: np.ndarray, r: int, b: int) -> np.ndarray:
 def _items(items: DataFrame, k: int, threshold: float, recall: float) -> DataFrame:
     """(item_id, size range, shingles, band keys) of every item that can be found."""
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch, "text"):
@@ -114,6 +115,7 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float, k: int, recall:
     grams = known.select(F.explode("grams").alias("gram"))
     key_bits, gram_bits = bitmap(keys, "key"), bitmap(grams, "gram")
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch, "text"):

@@ -70,10 +70,11 @@ def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(count by cell, whether a word may be seen twice by bit) over all words."""
     schema = "slice int, count binary, once binary, again binary"
 
+    @tx.lean
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Rarity()
         for batch in batches:
-            for part in tx.chunks(batch, "text", 3 * tx.CHUNK_BYTES):
+            for part in tx.chunks(batch, "text"):
                 table.add(*tx.counted(tx.column(part, "text")))
         yield table.rows()
 
@@ -116,10 +117,11 @@ def _classes(docs: DataFrame, rarity: tuple[np.ndarray, np.ndarray], threshold:
     again = rarity[1]
     least = threshold / (1 - threshold)  # a smaller set is similar to none but itself
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(again).view(bool) if again.dtype == np.uint8 else again
         for batch in batches:
-            for part in tx.chunks(batch, "text", 3 * tx.CHUNK_BYTES):
+            for part in tx.chunks(batch, "text"):
                 lists = pc.split_pattern(tx.column(part, "text"), "\n")
                 text_off = tx.offsets_of(lists)
                 code, off, known = tx.coded(lists.flatten())
@@ -164,6 +166,7 @@ def _classes(docs: DataFrame, rarity: tuple[np.ndarray, np.ndarray], threshold:
 def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(k, tokens) of lines whose place may be wanted; each once per task.  Other lines are not read for words."""
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
@@ -196,6 +199,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
     own = lambda n, s: classes.select(F.col("id").alias(n), *[F.col(c).alias(c[0] + s) for c in ("th", "line")])
     named = pairs.join(own("id", "a"), "id").join(own("other", "b"), "other")
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ka, kb = (_line_key(b.column(i).to_numpy(), b.column(i + 1).to_numpy()) for i in (1, 3))

@@ -79,6 +79,7 @@ def _sequence(word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch, "text"):
@@ -99,6 +100,7 @@ def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     """(h, grams: the distinct shingles, as bytes) of texts whose h may be wanted; each once per task."""
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:

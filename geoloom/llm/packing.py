@@ -94,6 +94,7 @@ class WordIds:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of docs(doc_id, text)."""
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordIds(tokenizer)
         for batch in batches:
@@ -241,6 +242,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     total = cut_pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(total / capacity / shard_bins))
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tx.groups(batches, ["shard"]):
             table = table.combine_chunks().sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "start", "ids_crc32")])

@@ -136,6 +136,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text)."""
     w0, w, v = model.w0, model.w.astype(np.float32), model.v.astype(np.float32)
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(w0, w.astype(np.float64), v.astype(np.float64))
         for batch in batches:

@@ -53,6 +53,16 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def lean(run):
+    """A function over batches that gives its memory back when its partition is done, also what it held in tables."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def chunks(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, each with about `most` bytes of text or a single row."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)

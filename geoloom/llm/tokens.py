@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from . import text as tx
 
 #: Distinct chunks remembered by a worker before it starts afresh; bounds its memory.
-CACHE = 1_000_000
+CACHE = 250_000
 #: Bytes of text whose distinct words are looked up at once.
-TOKEN_BYTES = 6 << 20
+TOKEN_BYTES = 2 << 20
 #: Words encoded as one text.
 RUN = 256
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x{85}]"
@@ -138,6 +138,7 @@ class ChunkCounts:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of docs(doc_id, text)."""
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkCounts(tokenizer)
         for batch in batches:

@@ -118,6 +118,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
     of the document score at least the threshold by themselves, and the index of the worst."""
     weights, bias = model.weights.astype(np.float32), model.bias
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights.astype(np.float64), bias)
         for batch in batches:
@@ -151,6 +152,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     names = docs.columns
     weights, bias = model.weights.astype(np.float32), model.bias
 
+    @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights.astype(np.float64), bias)
         for batch in batches:
