@@ -74,5 +74,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _shingles(table: str, key: str, least: int) -> str:
+    """Views <key>_w (words of each row) and <key>_s (its distinct five-word shingles; rows of fewer than `least` words have
+    none, other short ones one of all their words)."""
+    trimmed = r"regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
+    return f"""{key}_w AS (SELECT {key}, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: {trimmed}), lambda x: x <> '') AS w FROM {table}),
+{key}_s AS (SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM {key}_w WHERE len(w) >= {least}))"""
+
+
+DECONTAMINATION_SQL = f"""WITH {_shingles("documents", "doc_id", 5)}, {_shingles("benchmark", "item_id", 5)},
+size AS (SELECT item_id, count(*) AS n FROM item_id_s GROUP BY item_id)
+SELECT d.doc_id, i.item_id, count(*) AS n_shared, max(size.n) AS n_shingles, count(*) / max(size.n)::DOUBLE AS containment
+FROM doc_id_s d JOIN item_id_s i ON d.s = i.s JOIN size ON size.item_id = i.item_id GROUP BY d.doc_id, i.item_id HAVING count(*) / max(size.n)::DOUBLE >= 0.8"""
+
+LINKS_SQL = f"""WITH RECURSIVE {_shingles("documents", "doc_id", 1)},
+size AS (SELECT doc_id, count(*) AS n FROM doc_id_s GROUP BY doc_id),
+half AS (SELECT a.doc_id AS a, b.doc_id AS b FROM doc_id_s a JOIN doc_id_s b ON a.s = b.s AND a.doc_id < b.doc_id JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+ GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) >= 0.8::DOUBLE * (x.n + y.n - count(*)) - 1e-9),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+copies AS (SELECT array_to_string(w, ' ') AS t, count(*) AS n FROM doc_id_w WHERE len(w) > 0 GROUP BY 1)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM link WHERE link.a = d.doc_id) AS n_links, coalesce(c.n, 1) AS n_copies
+FROM doc_id_w d LEFT JOIN copies c ON c.t = array_to_string(d.w, ' ')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what it can express in good time; the other operators are held against brute force in tests/llm."""
+    return {"op4_ngram_jaccard_join": LINKS_SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL}
