@@ -38,8 +38,8 @@ RECEIVERS = 64
 class WordIds:
     """Token ids of texts whose tokenizer never joins across a blank, through a table of distinct words."""
 
-    def __init__(self, path: str):
-        self.library = load(path)
+    def __init__(self, path: str, words: int = CACHE):
+        self.library, self.words = load(path), words
         self._clear()
 
     def _clear(self) -> None:
@@ -65,7 +65,7 @@ class WordIds:
 
     def _ids_of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all names joined, offsets)."""
-        if len(self.at) > CACHE:
+        if len(self.at) > self.words:
             self._clear()
         core, tail = split_marks(names)
         place = np.stack([self._places(core), self._places(tail)], 1).ravel()
@@ -91,14 +91,15 @@ class WordIds:
         return out, out_off
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of docs(doc_id, text)."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of docs(doc_id, text).  A worker remembers up
+    to `words` words, and looks at `chunk` bytes of text at a time."""
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(tokenizer)
+        table = WordIds(tokenizer, words)
         for batch in batches:
-            for part in tx.chunks(batch, "text", TOKEN_BYTES):
+            for part in tx.chunks(batch, "text", chunk):
                 ids, off = table.encode(tx.column(part, "text"), end_id)
                 size = np.diff(off)
                 count = -(-size // capacity)
@@ -236,9 +237,9 @@ def _trade(bins: _Bins, donor: int, b: int, give: tuple, take: tuple, size: list
         bins.free[donor] -= size[j]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs(doc_id, text)."""
-    cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id))
+    cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id, words=words, chunk=chunk))
     total = cut_pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(total / capacity / shard_bins))
 

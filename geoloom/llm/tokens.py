@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from . import text as tx
 
 #: Distinct chunks remembered by a worker before it starts afresh; bounds its memory.
-CACHE = 250_000
+CACHE = 1_000_000
 #: Bytes of text whose distinct words are looked up at once.
-TOKEN_BYTES = 2 << 20
+TOKEN_BYTES = 6 << 20
 #: Words encoded as one text.
 RUN = 256
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x{85}]"
