@@ -39,8 +39,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces placed in sequences."""
-    return packing.pack_documents(docs, tokenizer_path(PACKING_TOKENIZER))
+    """What is left, as pieces placed in sequences.  The last of five stages in one session: a small table of words."""
+    return packing.pack_documents(docs, tokenizer_path(PACKING_TOKENIZER), words=100_000, chunk=1 << 20)
 
 
 STAGES = [
