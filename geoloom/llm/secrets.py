@@ -84,8 +84,8 @@ def scan(docs: DataFrame, scope: int = 300) -> DataFrame:
     apart = lambda c: F.filter(c, lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     rows = cut(rows.select("doc_id", "uid", "assign", "access", "hex", apart(F.array_distinct("weak")).alias("weak"), apart(F.col("identifier")).alias("identifier"), "endpoint"))
 
-    # documents that hold parts of two roles or more, each once
-    parts = rows.where("size(weak) + size(identifier) > 0 and size(weak) + size(assign) > 0 and size(identifier) + size(access) + size(endpoint) > 0").dropDuplicates(["uid"])
+    # documents that hold parts of two roles or more, of which one can be reported (an endpoint needs both others), each once
+    parts = rows.where("(size(weak) + size(identifier) > 0 or (size(access) > 0 and size(endpoint) > 0)) and size(weak) + size(assign) > 0 and size(identifier) + size(access) + size(endpoint) > 0").dropDuplicates(["uid"])
     role = lambda c, name: F.transform(c, lambda s: F.struct(F.lit(name).alias("role"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     parts = parts.select("uid", F.explode(F.concat(role(F.concat("assign", "weak"), "secret"), role(F.concat("access", "identifier"), "identifier"), role(F.col("endpoint"), "endpoint"))).alias("p")).select("uid", "p.*")
     cell = lambda c: F.floor(c / scope).cast("long")
