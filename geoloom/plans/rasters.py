@@ -419,7 +419,7 @@ def pit_filling(spark, d):
 
 @query("cost_distance")
 def cost_distance(spark, d):
-    return flow.cost_distance(fx.raster(spark, d).where("r < 5 and c < 20"), 0, 0, rounds=200).select("r", "c", rounded(F.col("d")).alias("d"))
+    return flow.cost_distance(fx.raster(spark, d), 0, 0).select("r", "c", rounded(F.col("d")).alias("d"))
 
 
 @query("inundation_level")

@@ -148,6 +148,27 @@ def test_flow(spark):
     assert got[2, 2] == pytest.approx(2 * 2**0.5) and got[0, 2] == 2.0
 
 
+def test_cost_distance_query_against_dijkstra(spark, sf_dir):
+    import heapq
+
+    from geoloom.plans import fixtures, rasters  # noqa: F401  (it registers the query)
+    from geoloom.plans.catalog import QUERIES
+
+    z = {(x.r, x.c): x.z for x in fixtures.raster(spark, sf_dir).select("r", "c", "z").collect() if x.z is not None}
+    best, heap = {}, [(0.0, 0, 0)]
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if (i, j) in best:
+            continue
+        best[i, j] = d
+        for a, b in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            if (i + a, j + b) in z and (i + a, j + b) not in best:
+                heapq.heappush(heap, (d + (2**0.5 if a and b else 1.0) * (1 + 5 * (z[i, j] + z[i + a, j + b]) / 200), i + a, j + b))
+    got = {(x.r, x.c): x.d for x in QUERIES["cost_distance"](spark, sf_dir).collect()}
+    assert len(got) == len(z) == len(best)
+    assert got == pytest.approx(best, abs=2e-6)
+
+
 def test_empty_inputs(spark):
     cells = spark.createDataFrame([], "r int, c int, z double, zone int")
     assert raster.neighbours(cells).count() == 0
