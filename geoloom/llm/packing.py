@@ -30,9 +30,6 @@ from .tokens import CACHE, TOKEN_BYTES, encode_each, load, split_marks
 
 CAPACITY = 4096
 END_ID = 1
-#: The emptiest bins that the local search tries to empty in a round, and those it exchanges with.
-DONORS = 16
-RECEIVERS = 64
 
 
 class WordIds:
@@ -168,73 +165,126 @@ class _Bins:
         self._index(b)
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, patience: int = 8) -> list[list[int]]:
-    """Bins as lists of indices into sizes (each at most capacity).  The search ends after `patience`
-    rounds over the DONORS emptiest bins, each exchanging with the RECEIVERS emptiest others; no item is ever
-    left out."""
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, patience: int | None = None) -> list[list[int]]:
+    """Bins as lists of indices into sizes (each at most capacity).  The search ends when no underfull bin has an
+    improving step with any other, or the bins are as few as can be, or after `patience` rounds if that is given; no item
+    is ever left out."""
     size = [int(s) for s in sizes]
     bins = _Bins(capacity)
     for i in sorted(range(len(size)), key=lambda i: (-size[i], i)):
         b = bins.tightest(size[i])
         bins.add(bins.new() if b < 0 else b, i, size[i])
-    least = -(-sum(size) // capacity)
-    for _ in range(patience):
+    spare = len(bins.items) + sum(size) // -capacity  # bins above the least number that could do
+    if spare <= 0 or patience == 0:
+        return bins.items
+    offers = _Offers(bins, size)
+    rounds = 0
+    moved = True
+    while moved and spare > 0 and rounds != patience:
         moved = False
-        donors = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.free[b]), key=lambda b: (-bins.free[b], b))[:DONORS]
-        for donor in donors:
-            while sum(map(bool, bins.items)) > least and bins.items[donor] and _step(bins, donor, size):
+        rounds += 1
+        for donor in sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.free[b]), key=lambda b: (-bins.free[b], b)):
+            while bins.items[donor] and (found := offers.best(donor)):
+                b, give, take = found
+                for j in take:
+                    bins.take(b, j, size[j])
+                for i in give:
+                    bins.take(donor, i, size[i])
+                    bins.add(b, i, size[i])
+                for j in take:
+                    bins.add(donor, j, size[j])
+                offers.put(b)
+                offers.put(donor)
                 moved = True
-        if not moved:
-            break
+            if not bins.items[donor]:
+                spare -= 1
+                if spare <= 0:
+                    break
     return [b for b in bins.items if b]
 
 
-def _step(bins: _Bins, donor: int, size: list[int]) -> bool:
-    """Move one item of the donor into another underfull bin, or exchange one or two of its items for one or two
-    smaller ones there, so that the sum of squared fills grows."""
-    bins._unindex(donor)  # no target for itself
-    try:
-        own = sorted(bins.items[donor], key=lambda i: -size[i])
+def _sums(own: list[int]) -> tuple[list[int], list[int]]:
+    """The distinct sizes, and the distinct sums of two items."""
+    values = sorted(set(own))
+    pairs = {v + w for n, v in enumerate(values) for w in values[n + 1 :]} | {2 * v for v in values if own.count(v) > 1}
+    return values, sorted(pairs)
+
+
+class _Offers:
+    """What underfull bins would hand back for larger items: nothing, one item or two, by size.  A bin that changes
+    is written anew at the end, so a donor that found nothing looks only at what has come since."""
+
+    def __init__(self, bins: _Bins, size: list[int]):
+        self.bins, self.size = bins, size
+        self.n = self.live = 0
+        self.table = np.empty((4, 1 << 12), np.int64)  # bin (-1: gone), free room, size handed back, items handed back
+        self.at: dict[int, tuple[int, int]] = {}
+        self.seen: dict[int, int] = {}
+        for b in range(len(bins.items)):
+            self.put(b)
+
+    def put(self, b: int) -> None:
+        """Write bin b anew, as it is now."""
+        first, last = self.at.pop(b, (0, 0))
+        self.table[0, first:last] = -1
+        self.live -= last - first
+        self.seen.pop(b, None)
+        room = self.bins.free[b]
+        if not room or not self.bins.items[b]:
+            return
+        one, two = _sums([self.size[i] for i in self.bins.items[b]])
+        back = [0, *one, *two]
+        if self.n + len(back) > self.table.shape[1]:
+            self._tidy(len(back))
+        end = self.n + len(back)
+        self.table[0, self.n : end] = b
+        self.table[1, self.n : end] = room
+        self.table[2, self.n : end] = back
+        self.table[3, self.n : end] = [0] + [1] * len(one) + [2] * len(two)
+        self.at[b] = (self.n, end)
+        self.live += len(back)
+        self.n = end
+
+    def _tidy(self, more: int) -> None:
+        kept = self.table[0, : self.n] >= 0
+        place = np.concatenate([[0], np.cumsum(kept)])
+        grown = np.empty((4, 2 * (self.live + more)), np.int64)
+        grown[:, : self.live] = self.table[:, : self.n][:, kept]
+        self.table, self.n = grown, self.live
+        self.at = {b: (int(place[i]), int(place[j])) for b, (i, j) in self.at.items()}
+        self.seen = {b: int(place[i]) for b, i in self.seen.items()}
+
+    def best(self, donor: int) -> tuple[int, list[int], list[int]] | None:
+        """(bin, items to give, items to take) of a step that makes the sum of squared fills grow: the largest item
+        that can move, into the tightest room; else the exchange with the emptiest bin that fills it most."""
+        where, room, back, many = self.table[:, self.seen.get(donor, 0) : self.n]
+        free, width = self.bins.free[donor], self.bins.capacity + 1
+        one, two = _sums([self.size[i] for i in self.bins.items[donor]])
+        single, either = np.array([-1, *one]), np.array([-1, *sorted({*one, *two})])
+        most = back + room
+        given = np.where(many == 1, either[np.searchsorted(either, most, "right") - 1], single[np.searchsorted(single, most, "right") - 1])
+        good = np.flatnonzero((given > back + np.maximum(0, room - free)) & (where >= 0) & (where != donor))
+        if not len(good):
+            self.seen[donor] = self.n
+            return None
+        where, room, back, many, given = where[good], room[good], back[good], many[good], given[good]
+        rank = np.where(many == 0, width * width + given * width + width - room, room * width + given - back)
+        i = np.lexsort((many, back, where, -rank))[0]
+        b = int(where[i])
+        give = self._items(donor, int(given[i]), 1 if given[i] in one else 2)
+        return b, give, self._items(b, int(back[i]), int(many[i]))
+
+    def _items(self, b: int, total: int, many: int) -> list[int]:
+        """So many items of bin b that are so large together."""
+        own = self.bins.items[b]
+        if many < 2:
+            return [next(i for i in own if self.size[i] == total)] if many else []
+        place = {}
         for i in own:
-            b = bins.tightest(size[i])
-            if b >= 0 and size[i] + bins.free[donor] > bins.free[b]:
-                _trade(bins, donor, b, (i,), (), size)
-                return True
-        offers = [((i,), size[i]) for i in own] + [((i, j), size[i] + size[j]) for n, i in enumerate(own) for j in own[n + 1 :]]
-        tried = 0
-        for f in sorted((f for f, found in bins.by_free.items() if f and found), reverse=True):
-            best = None
-            if tried >= RECEIVERS:
-                break
-            for b in sorted(bins.by_free[f])[: RECEIVERS - tried]:
-                tried += 1
-                there = sorted(bins.items[b], key=lambda j: size[j])
-                wanted = [((j,), size[j]) for j in there] + [((j, k), size[j] + size[k]) for n, j in enumerate(there) for k in there[n + 1 :]]
-                for give, given in offers:
-                    for take, taken in wanted:
-                        gain = given - taken
-                        if 0 < gain <= f and len(give) + len(take) < 4 and gain + bins.free[donor] > f and (best is None or gain > best[0]):
-                            best = (gain, b, give, take)
-            if best:
-                _trade(bins, donor, *best[1:], size)
-                return True
-        return False
-    finally:
-        if bins.items[donor]:
-            bins._index(donor)
-
-
-def _trade(bins: _Bins, donor: int, b: int, give: tuple, take: tuple, size: list[int]) -> None:
-    """Items of the donor (not indexed) against items of bin b."""
-    for j in take:
-        bins.take(b, j, size[j])
-    for i in give:
-        bins.items[donor].remove(i)
-        bins.free[donor] += size[i]
-        bins.add(b, i, size[i])
-    for j in take:
-        bins.items[donor].append(j)
-        bins.free[donor] -= size[j]
+            if total - self.size[i] in place:
+                return [place[total - self.size[i]], i]
+            place[self.size[i]] = i
+        raise AssertionError("no such items")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
