@@ -4,16 +4,18 @@ The count at a prefix is the count at an earlier prefix plus that of the tokens
 over a text, from chunk to chunk (a chunk starts at a single blank between visible characters,
 where byte-level BPE always starts a new piece); inside a piece, from token to token (the last
 token of every prefix's encoding is stored, so each prefix's encoding is that of a shorter prefix
-plus one token).  Truncation and budget questions are look-ups in those tables.
+plus one token).  n_tokens and over_limit are look-ups in those tables, as are truncation and budget questions.
 
 Nulls count as empty texts (0 tokens); empty tables give empty results; repeated rows are counted
 each; extra columns are ignored.  Texts whose blanks stand beside other white space, and texts with
-special tokens, go to the library whole.
+special tokens, are summed up piece by piece.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -86,53 +88,182 @@ def split_marks(names: pa.Array) -> tuple[pa.Array, pa.Array]:
     return core, pa.array(tails, pa.large_string())
 
 
+class PiecePrefixes:
+    """Token counts at every prefix of a piece (in the byte-level alphabet), by the recurrence on the last token: it is the one
+    token that ends the prefix, is encoded as itself, and stays apart from the last token of what is before it."""
+
+    def __init__(self, library):
+        import json
+
+        spec = json.loads(library.to_str())
+        model = spec["model"]
+        if spec["normalizer"] or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or model.get("ignore_merges"):
+            raise ValueError("prefix counts need a byte-level BPE without normaliser")
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        made = {a + b for a, b in merges}
+        if len(made) < len(merges):
+            raise ValueError("a token is made by two merges")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.names = [t for t in model["vocab"] if t not in made and t not in self.special]
+        self.first = len(self.names)  # tokens are numbered by rank, after the bytes
+        self.names += [a + b for a, b in merges]
+        self.number = {t: i for i, t in enumerate(self.names)}
+        self.parts = [(i, i) for i in range(self.first)] + [(self.number[a], self.number[b]) for a, b in merges]
+        self.merged = {part: i for i, part in enumerate(self.parts) if i >= self.first}
+        self.longest = max(map(len, self.names))
+        self.own: dict[int, bool] = {}
+        byte = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = dict(zip(byte, byte)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(byte))}
+        self.pre_tokenizer = library.pre_tokenizer
+
+    def pieces(self, text: str) -> list[str]:
+        if text[:1] == " " and text[1:].isalpha() and max(text) < "\u0250":  # one piece, as it has letters alone
+            return [text.encode().decode("latin-1").translate(self.alphabet)]
+        return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _whole(self, token: int) -> bool:
+        """Whether the text of a token is encoded as just this token."""
+        if token not in self.own:
+            parts = [self.number[c] for c in self.names[token]]
+            while len(parts) > 1:
+                best, i = min((self.merged.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if best == 1 << 60:
+                    break
+                parts[i : i + 2] = [best]
+            self.own[token] = parts == [token]
+        return self.own[token]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge crosses from token a to token b: their merges are undone from the last on, and a pair
+        that would have been merged before them crosses."""
+        limit = 1 << 60
+        merged, parts = self.merged, self.parts
+        while True:
+            if merged.get((a, b), limit) < limit:
+                return False
+            if a > b:
+                limit = a
+                a = parts[a][1]
+                if a == limit:
+                    limit = b + 1
+                    b = parts[b][0]
+                    if b + 1 == limit:
+                        return True
+            else:
+                limit = b + 1
+                b = parts[b][0]
+                if b + 1 == limit:
+                    limit = a
+                    a = parts[a][1]
+                    if a == limit:
+                        return True
+
+    def prefixes(self, piece: str) -> list[int]:
+        """Token counts of piece[:1], piece[:2], ..."""
+        last, count = [0], [0]
+        known, whole, apart, longest = self.number.get, self._whole, self._apart, self.longest
+        for j in range(1, len(piece) + 1):
+            for i in range(max(0, j - longest), j):
+                t = known(piece[i:j])
+                if t is not None and whole(t) and (not i or apart(last[i], t)):
+                    last.append(t)
+                    count.append(count[i] + 1)
+                    break
+            else:
+                raise ValueError(f"no token ends {piece[:j]!r}")
+        return count[1:]
+
+    def of_text(self, text: str) -> list[int]:
+        """Token counts at every byte of a text without special tokens, piece after piece."""
+        out: list[int] = []
+        for piece in self.pieces(text):
+            before = out[-1] if out else 0
+            out += [before + n for n in self.prefixes(piece)] if before else self.prefixes(piece)
+        return out
+
+
+def _packed(counts: list[int]):
+    return bytes(counts) if not counts or counts[-1] < 256 else array("I", counts)
+
+
 class ChunkCounts:
-    """Token counts of whole texts, through a table of the counts of distinct chunks."""
+    """Token counts at the prefixes of texts, through a table of the prefix counts of distinct chunks."""
 
     def __init__(self, path: str):
         self.library = load(path)
-        self.seen: dict[str, int] = {}
-
-    def _each(self, names: pa.Array) -> np.ndarray:
-        """Counts of " " + name: of the name without its closing marks, and of those."""
+        self.dp = PiecePrefixes(self.library)
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.dp.special, key=len, reverse=True))) + ")") if self.dp.special else None
+        self.seen: dict[str, bytes | array] = {}
+
+    def _table(self, name: str):
+        """Token counts at every byte of a chunk, or of a piece of a text."""
+        found = self.seen.get(name)
+        if found is None:
+            found = self.seen[name] = _packed(self.dp.of_text(name))
+        return found
+
+    def _each(self, names: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE:
             self.seen.clear()
-        core, tail = split_marks(names)
-        coded = core.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        count = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
-        fresh = np.flatnonzero(count < 0)
-        if len(fresh):
-            new = [words[i] for i in fresh]
-            alpha = pc.utf8_is_alpha(coded.dictionary.take(pa.array(fresh))).to_numpy(zero_copy_only=False)
-            count[fresh] = np.diff(encode_each(self.library, new, alpha, " ")[1])
-            self.seen.update(zip(new, count[fresh].tolist()))
-        marks = tail.dictionary_encode()
-        of_mark = np.array([len(self.library.encode(m, add_special_tokens=False)) for m in marks.dictionary.to_pylist()], np.int64)
-        return count[coded.indices.to_numpy(zero_copy_only=False)] + of_mark[marks.indices.to_numpy(zero_copy_only=False)]
-
-    def _heads(self, parts: list[str]) -> np.ndarray:
-        return np.array([len(e) for e in self.library.encode_batch(parts, add_special_tokens=False)], np.int64)
-
-    def count(self, texts: pa.Array) -> np.ndarray:
+        return np.fromiter((t[-1] if t else 0 for t in map(self._table, names)), np.int64, len(names))
+
+    def _odd(self, text: str) -> tuple[list[int], list[int]]:
+        """(bytes, tokens) at the end of every piece or special token of a text."""
+        at, total, ends, sums = 0, 0, [], []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            for piece in [None] if k % 2 else self.dp.pieces(part):
+                at += len(part.encode()) if piece is None else len(piece)
+                total += 1 if piece is None else self.dp.prefixes(piece)[-1]
+                ends.append(at)
+                sums.append(total)
+        return ends, sums
+
+    def prefixes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, tokens) at the end of every chunk of all texts, each from its own start, and the offsets of the texts."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        out = np.zeros(len(texts), np.int64)
-        for i in np.flatnonzero(odd):
-            out[i] = len(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False))
-        if odd.all():
-            return out
-        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        plain = texts.filter(pa.array(~odd))
+        lists = pc.split_pattern(plain, " ")
         off = tx.offsets_of(lists)
         flat = lists.flatten()
         first = np.zeros(len(flat), bool)
         first[off[:-1]] = True
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        count = self._each(coded.dictionary)[codes]
+        core, tail = split_marks(coded.dictionary)
+        inner = np.zeros(len(coded.dictionary), bool)
+        inner[codes[~first]] = True
+        count = np.zeros(len(inner), np.int64)
+        some = pa.array(np.flatnonzero(inner))
+        for part, lead in ((core, " "), (tail, "")):
+            distinct = part.take(some).dictionary_encode()
+            own = self._each([lead + n for n in distinct.dictionary.to_pylist()])
+            count[inner] += own[distinct.indices.to_numpy(zero_copy_only=False)]
+        tokens = count[codes]
         heads, where = np.unique(codes[first], return_inverse=True)
-        count[first] = self._heads(coded.dictionary.take(pa.array(heads)).to_pylist())[where]
-        out[~odd] = np.add.reduceat(count, off[:-1])
-        return out
+        tokens[first] = self._each(coded.dictionary.take(pa.array(heads)).to_pylist())[where]
+        size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[codes] + ~first
+        n = np.diff(off)
+        ends, sums = (np.cumsum(x) for x in (size, tokens))
+        start = np.repeat(off[:-1], n)
+        ends, sums = (x - (np.concatenate([[0], x])[start]) for x in (ends, sums))
+        if not odd.any():
+            return ends, sums, off
+        others = [self._odd(texts[int(i)].as_py()) for i in np.flatnonzero(odd)]
+        length = np.zeros(len(texts), np.int64)
+        length[~odd], length[odd] = n, [len(e) for e, _ in others]
+        here = np.repeat(odd, length)
+        out = np.zeros((2, len(here)), np.int64)
+        out[:, ~here] = ends, sums
+        out[:, here] = [v for e, _ in others for v in e], [v for _, c in others for v in c]
+        return out[0], out[1], np.concatenate([[0], np.cumsum(length)])
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Token counts of whole texts: the last entries of their tables."""
+        return self.totals(*self.prefixes(texts)[1:])
+
+    @staticmethod
+    def totals(sums: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return np.where(np.diff(off) > 0, np.concatenate([sums, [0]])[off[1:] - 1], 0)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -144,9 +275,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
         for batch in batches:
             for part in tx.chunks(batch, "text", TOKEN_BYTES):
                 texts = tx.column(part, "text")
-                n = table.count(texts)
+                _, sums, off = table.prefixes(texts)
+                n = table.totals(sums, off)
+                passed = np.concatenate([[0], np.cumsum(sums > limit)])  # a text is over the limit where a prefix is
+                over = np.diff(passed[off]) > 0
                 size = pc.binary_length(texts).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -160,13 +294,8 @@ class PrefixTable:
     """
 
     def __init__(self, library, text: str):
-        import json
-
         self.library = library
-        model = json.loads(library.to_str())["model"]
-        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        self.vocab = model["vocab"]
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.dp = PiecePrefixes(library)
         self.made: dict[str, list[int]] = {}
         self.text = text
         self.bounds = [0]
@@ -175,36 +304,10 @@ class PrefixTable:
             self.bounds.append(end)
             self.sums.append(self.sums[-1] + self.prefixes(piece)[-1])
 
-    def _bpe(self, word: str) -> list[str]:
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def _fits(self, a: str, b: str) -> bool:
-        """Whether a text of token a, then token b is encoded as just these."""
-        if (a, b) not in self.pair:
-            self.pair[a, b] = self._bpe(a + b) == [a, b]
-        return self.pair[a, b]
-
     def prefixes(self, piece: str) -> list[int]:
         """Token counts of piece[:1], piece[:2], ..., by the recurrence on the last token."""
         if piece not in self.made:
-            last: list[str] = [""]
-            count = [0]
-            for j in range(1, len(piece) + 1):
-                for i in range(j):
-                    t = piece[i:j]
-                    if t in self.vocab and (self._bpe(t) == [t] if i == 0 else self._fits(last[i], t)):
-                        last.append(t)
-                        count.append(count[i] + 1)
-                        break
-                else:
-                    raise ValueError(f"no token ends {piece[:j]!r}")
-            self.made[piece] = count[1:]
+            self.made[piece] = self.dp.prefixes(piece)
         return self.made[piece]
 
     def count(self, chars: int) -> int:

@@ -65,6 +65,25 @@ def test_prefix_table_answers_every_prefix():
             assert exact[n] <= budget
 
 
+def test_counts_come_from_prefix_tables():
+    path = queries.tokenizer_path(queries.COUNTING_TOKENIZER)
+    library = tokens.load(path)
+    exact = lambda b: len(library.encode(b.decode(), add_special_tokens=False))
+    texts = [t or "" for t in TEXTS if len(t or "") < 1000] + ["Words don't end, é here: x=1;", "one two"]
+    table = tokens.ChunkCounts(path)
+    table.library = None  # nothing is encoded
+    ends, sums, off = table.prefixes(pa.array(texts, pa.large_string()))
+    for t, a, b in zip(texts, off, off[1:]):
+        assert sums[a:b].tolist() == np.sort(sums[a:b]).tolist()
+        assert (int(ends[b - 1]), int(sums[b - 1])) == (len(t.encode()), exact(t.encode())) if t else sums[a:b].sum() == 0
+    plain = texts.index("Words don't end, é here: x=1;")
+    a, b = off[plain : plain + 2]
+    assert [exact(texts[plain].encode()[:e]) for e in ends[a:b]] == sums[a:b].tolist()
+    for chunk in (" tokenization", " abcdefghijklmnopqrstuvwxyz", "x" * 200):
+        assert table.dp.of_text(chunk) == [exact(chunk[:i].encode()) for i in range(1, len(chunk) + 1)]
+    assert table.count(pa.array(texts, pa.large_string())).tolist() == [exact(t.encode()) for t in texts]
+
+
 def test_pieces_and_packing(docs, spark, sf_dir):
     path = queries.tokenizer_path(queries.PACKING_TOKENIZER)
     library = tokens.load(path)
