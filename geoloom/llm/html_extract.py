@@ -3,7 +3,8 @@
 A page is a stream of tags and texts.  Its skeleton, block tags with their classes and text slots, is
 generalised by folding neighbouring equal runs into repeated groups; skeletons of one host are then
 aligned one after the other into a union-free expression (mismatches become optional groups, runs beside
-an equal run repeated ones).  The expression describes the host; no text is taken by it.  Along with it, the text slots of each element path are summed up: how much text, how much
+an equal run repeated ones).  The expression describes the host; no text is taken by it.
+Along with it, the text slots of each element path are summed up: how much text, how much
 of it in links, whether it is the same on all pages.  From these the wrapper names the host's main element:
 an article element where there is one, else the deepest element that holds most of the changing text.
 A page gives the texts of its main element, without menus, headers and footers of the page, sidebars, notices, adverts,
