@@ -238,8 +238,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = SEAR
                     own = own[own >= 0]
                     v, asked_id = q[a + row], asked_ids[a + row]
                     score = (raw[own] * v).sum(1) / (norm[own] * np.sqrt((v * v).sum()))
-                    top = np.argsort(-score, kind="stable")[: k + 1 + 8]
-                    hits = [(-score[t], int(i)) for t in top for i in ids[ends[own[t]] : ends[own[t] + 1]] if i != asked_id]
+                    hits = [(-score[t], int(i)) for t in range(len(own)) for i in ids[ends[own[t]] : ends[own[t] + 1]] if i != asked_id]
                     out += [(asked_id, i, -s) for s, i in sorted(hits)[:k]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -223,3 +223,12 @@ def test_pipeline(spark, sf_dir):
     assert sorted(got.select(key).collect()) == sorted(expected.select(key).collect())
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
+
+
+def test_ties_beyond_the_first_candidates(spark):
+    """24 scaled copies of one direction have equal scores: the smallest vec_ids come first."""
+    rows = [(i, [float(2 ** ((7 * i) % 24)), 0.0, 0.0]) for i in range(24)] + [(100 + i, [0.0, 1.0, float(i)]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(999, [3.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(vectors, asked, k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
