@@ -14,6 +14,7 @@ special tokens, are summed up piece by piece.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -41,8 +42,6 @@ MARKS = ".,;:!?"
 
 
 def load(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
@@ -112,6 +111,8 @@ class PiecePrefixes:
         self.merged = {part: i for i, part in enumerate(self.parts) if i >= self.first}
         self.longest = max(map(len, self.names))
         self.own: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.latest: tuple[str, list[int], list[int]] = ("", [0], [0])
         byte = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = dict(zip(byte, byte)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(byte))}
         self.pre_tokenizer = library.pre_tokenizer
@@ -160,17 +161,30 @@ class PiecePrefixes:
 
     def prefixes(self, piece: str) -> list[int]:
         """Token counts of piece[:1], piece[:2], ..."""
-        last, count = [0], [0]
-        known, whole, apart, longest = self.number.get, self._whole, self._apart, self.longest
-        for j in range(1, len(piece) + 1):
+        before, last, count = self.latest
+        n = len(os.path.commonprefix((before, piece)))  # what a piece shares with the one before it is as it was there
+        last, count = last[: n + 1], count[: n + 1]
+        known, whole, apart, longest, pairs, width = self.number.get, self._whole, self._apart, self.longest, self.pairs, len(self.names)
+        if len(pairs) > CACHE:
+            pairs.clear()
+        for j in range(n + 1, len(piece) + 1):
             for i in range(max(0, j - longest), j):
                 t = known(piece[i:j])
-                if t is not None and whole(t) and (not i or apart(last[i], t)):
-                    last.append(t)
-                    count.append(count[i] + 1)
-                    break
+                if t is None or not whole(t):
+                    continue
+                if i:
+                    pair = last[i] * width + t
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = apart(last[i], t)
+                    if not fits:
+                        continue
+                last.append(t)
+                count.append(count[i] + 1)
+                break
             else:
                 raise ValueError(f"no token ends {piece[:j]!r}")
+        self.latest = piece, last, count
         return count[1:]
 
     def of_text(self, text: str) -> list[int]:
@@ -205,6 +219,8 @@ class ChunkCounts:
     def _each(self, names: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE:
             self.seen.clear()
+        for name in sorted(n for n in names if n not in self.seen):  # neighbours share what they begin with
+            self._table(name)
         return np.fromiter((t[-1] if t else 0 for t in map(self._table, names)), np.int64, len(names))
 
     def _odd(self, text: str) -> tuple[list[int], list[int]]:
