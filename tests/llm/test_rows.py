@@ -232,12 +232,100 @@ def pa_col():
     return F.lit("clash")
 
 
-def test_wrapper_expressions():
-    assert html_extract.fold(list("abab")) == [("+", ("a", "b"))]
-    one = html_extract.fold(["ul", "li", "#", "/li", "li", "#", "/li", "/ul"])
-    assert one == ["ul", ("+", ("li", "#", "/li")), "/ul"]
-    assert html_extract.align(["ul", "li", "#", "/li", "/ul"], one) in (one, ["ul", "li", "#", "/li", ("+", ("li", "#", "/li")), "/ul"], ["ul", ("+", ("li", "#", "/li")), "/ul"])
-    assert html_extract.align(["a", "c"], ["a", "b", "c"]) == ["a", ("?", ("b",)), "c"]
+def shape(html):
+    return html_extract.Page(html).shape()
+
+
+def wrapper_of(pages):
+    out = []
+    for p in sorted(pages, key=lambda p: p.shape()):
+        out = html_extract.align(out, html_extract._bare(p.items)) if out else html_extract._bare(p.items)
+    return out
+
+
+def test_expressions_of_one_page():
+    assert shape("<ul><li>a<li>b<li>c</ul>") == "ul[li+[#]]"
+    assert shape("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "dl[(dt dd)+[dt[#] dd[#]]]"
+    assert shape("<div><p>a</div><div><ul><li>b</ul></div>") == "div[p[#]] div[ul[li[#]]]"
+    assert shape("<ul><li>a<li><p>b<li>c</ul>") == "ul[li+[#? p?[#]]]"
+    a, b = (html_extract.Page(h) for h in ("<h1>x</h1><p>y", "<h1>x</h1><h2>t</h2><p>y<p>z"))
+    assert html_extract._shape(html_extract.align(html_extract._bare(a.items), b.items)) == "h1[#] h2?[#] p+[#]"
+
+
+def accepts(items):
+    """The pattern of an expression over a stream of <label>, # and </>."""
+    out = ""
+    for key, optional, repeated, body in items:
+        inner = "#" if key == "#" else accepts(body) if key[0] == "(" else re.escape(f"<{key}>") + accepts(body) + "</>"
+        out += f"(?:{inner})" + {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[optional, repeated]
+    return out
+
+
+def random_html(rng, depth=0):
+    out = ""
+    for _ in range(rng.integers(1, 5)):
+        tag = rng.choice(["p", "div", "div class=a", "ul", "h2", "dl", "text"])
+        if tag == "ul":
+            out += "<ul>" + "".join(f"<li>i{rng.integers(9)}</li>" for _ in range(rng.integers(0, 4))) + "</ul>"
+        elif tag == "dl":
+            out += "<dl>" + "".join("<dt>k</dt><dd>v</dd>" + "<dd>w</dd>" * int(rng.integers(0, 2)) for _ in range(rng.integers(1, 4))) + "</dl>"
+        elif tag == "text" or depth > 2:
+            out += f"<p>words {rng.integers(99)}</p>"
+        else:
+            out += f"<{tag}>{random_html(rng, depth + 1) if tag.startswith('div') else 'short'}</{tag.split()[0]}>"
+    return out
+
+
+def plain_stream(html):
+    out, at = "", 0
+    for m in re.finditer(r"<(/?)(\w+)(?: class=(\w+))?>", html):
+        out += "#" * bool(html[at : m.start()])
+        out += "</>" if m[1] else f"<{m[2]}{'.' + m[3] if m[3] else ''}>"
+        at = m.end()
+    return out + "#" * bool(html[at:])
+
+
+def test_wrappers_accept_their_pages():
+    """Brute force: a wrapper, as a pattern, matches the whole token stream of every page it was made from, loses no slot, and
+    every text of a page falls into one of its slots."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        htmls = [random_html(rng) for _ in range(rng.integers(1, 5))]
+        pages = [html_extract.Page(h) for h in htmls]
+        wrapper = wrapper_of(pages)
+        for h, p in zip(htmls, pages):
+            assert re.fullmatch(accepts(wrapper), plain_stream(h)), (html_extract._shape(wrapper), plain_stream(h))
+            both = html_extract.align(wrapper, p.items)
+            assert sorted(i for body in html_extract.slots(both) for i in body[4]) == list(range(len(p.texts)))
+
+
+def test_template_texts_go_by_the_wrapper():
+    """No tag, class or role tells here: what all pages of a host share goes, what changes stays."""
+    one = "<div><div>Our site, made with love since long ago, says good day to all of you</div><div><h2>Title {0}</h2>" + "".join(f"<p>Paragraph {{0}} number {i} tells {{0}} more.</p>" for i in range(3)) + "<section>Write to us at the usual place</section></div><div>All rights are with the site</div></div>"
+    pages = [html_extract.Page(one.format(i)) for i in range(9)]
+    wrapper = wrapper_of(pages)
+    expected = "Title 4\n\n" + "\n\n".join(f"Paragraph 4 number {i} tells 4 more." for i in range(3))
+    assert html_extract.Extractor().text(pages[4], "h", wrapper) == expected
+    assert html_extract.Extractor().text(pages[4], "h", []) != expected
+    copies = wrapper_of([pages[4]] * 20)  # one page many times shows no template
+    assert "Write to us" in html_extract.Extractor().text(pages[4], "h", copies)
+
+
+def test_text_comes_through_the_alignment(sf_dir, monkeypatch):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf_dir}/pages.parquet").to_pylist()
+    pages = [html_extract.Page(r["html"] or "") for r in table]
+    assert any(html_extract.Extractor().text(p, "", html_extract._bare(p.items)) for p in pages)
+    monkeypatch.setattr(html_extract, "align", lambda a, b, same_page=False: [])
+    assert not any(html_extract.Extractor().text(p, "", html_extract._bare(p.items)) for p in pages)
+
+
+def test_long_and_deep_pages():
+    long = html_extract.Page("<article>" + "".join(f"<p>w{i} x</p>" for i in range(40_000)) + "</article>")
+    assert long.shape() == "article[p+[#]]" and html_extract.Extractor().text(long, "", []).count("\n\n") == 39_999
+    deep = html_extract.Page("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after")
+    assert html_extract.Extractor().text(deep, "", []) == "deep\n\nafter"
 
 
 def test_pages_of_the_table(spark, sf_dir):
