@@ -1,20 +1,21 @@
-"""Best-fit packing of token pieces into sequences, improved by swaps.
+"""Best-fit packing of token pieces into sequences, by swaps.
 
 Documents are tokenized, closed with an end id and cut into pieces of at most `capacity` tokens.
-Pieces are dealt by a hash into shards of about `shard_bins` sequences, independent of any key, and
-each shard is packed in one task of bounded size: best fit in decreasing order, then local search
-between underfull bins (move one, exchange one for one, one for two or two for one), each step increasing the sum of
-squared fills, until bins empty and go; it ends when the free room is below one bin, where no
-packing of the shard has fewer, or when no step is left.
-
-Null texts are empty (the end id alone); empty tables give no rows; rows that repeat a doc_id are
-packed each; extra columns are ignored; long texts are cut, never shortened.
+Pieces are dealt by a hash of their row into shards of at most about `shard_bins` sequences and `shard_items` pieces,
+independent of any key, and each shard is packed in one task of bounded size by local search: from a plain placement, items
+are moved or exchanged (one for one, one for two, two for one) between underfull bins, each step increasing the sum of
+squared fills, until bins empty and go; it ends when the free room is below one bin, where no packing of the shard has
+fewer, or when no step is left (then it starts once more, from best fit in decreasing order, and the fewer sequences count).
+
+Null texts are empty (the end id alone); empty tables give no rows; rows that repeat a doc_id are packed each, and lie in any
+shards; ties between steps go to the emptiest, then the lowest bin; extra columns are ignored, whatever their names; long texts
+are cut, never shortened.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -117,31 +118,33 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 class _Bins:
-    """Bins of item sizes, found by their free room."""
+    """Bins of item sizes; those with items are found by their free room."""
 
     def __init__(self, capacity: int):
         self.capacity, self.items, self.free = capacity, [], []
-        self.by_free: dict[int, set[int]] = defaultdict(set)
+        self.by_free: dict[int, dict[int, None]] = defaultdict(dict)
         self.mask = 0
 
     def _index(self, b: int) -> None:
-        self.by_free[self.free[b]].add(b)
-        self.mask |= 1 << self.free[b]
+        if self.items[b]:
+            self.by_free[self.free[b]][b] = None
+            self.mask |= 1 << self.free[b]
 
     def _unindex(self, b: int) -> None:
         f = self.free[b]
-        self.by_free[f].discard(b)
+        self.by_free[f].pop(b, None)
         if not self.by_free[f]:
             self.mask &= ~(1 << f)
 
     def tightest(self, size: int, but: int = -1) -> int:
-        """A bin other than `but` with the least free room of at least `size`, or -1."""
+        """A bin other than `but` with the least free room of at least `size` (of several, the one that has had it longest),
+        or -1."""
         rest = self.mask >> size
         while rest:
             f = (rest & -rest).bit_length() - 1 + size
-            found = min((b for b in self.by_free[f] if b != but), default=-1)
-            if found >= 0:
-                return found
+            for b in self.by_free[f]:
+                if b != but:
+                    return b
             rest = self.mask >> (f + 1)
             size = f + 1
         return -1
@@ -149,7 +152,6 @@ class _Bins:
     def new(self) -> int:
         self.items.append([])
         self.free.append(self.capacity)
-        self._index(len(self.free) - 1)
         return len(self.free) - 1
 
     def add(self, b: int, item: int, size: int) -> None:
@@ -164,60 +166,126 @@ class _Bins:
         self.free[b] += size
         self._index(b)
 
+    def underfull(self) -> list[int]:
+        """Bins with items and free room, emptiest first."""
+        return sorted((b for b in range(len(self.items)) if self.items[b] and self.free[b]), key=lambda b: (-self.free[b], b))
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, patience: int | None = None) -> list[list[int]]:
-    """Bins as lists of indices into sizes (each at most capacity).  The search ends when no underfull bin has an
-    improving step with any other, or the bins are as few as can be, or after `patience` rounds if that is given; no item
-    is ever left out."""
-    size = [int(s) for s in sizes]
+
+def placed(size: list[int], capacity: int) -> _Bins:
+    """Where the search starts: items in their order, each in the latest bin, or a new one if it has no room."""
+    bins = _Bins(capacity)
+    for i, s in enumerate(size):
+        b = len(bins.items) - 1
+        bins.add(b if b >= 0 and bins.free[b] >= s else bins.new(), i, s)
+    return bins
+
+
+def best_fit(size: list[int], capacity: int) -> _Bins:
+    """The other start: items in decreasing order, each in the tightest room."""
     bins = _Bins(capacity)
     for i in sorted(range(len(size)), key=lambda i: (-size[i], i)):
         b = bins.tightest(size[i])
         bins.add(bins.new() if b < 0 else b, i, size[i])
-    spare = len(bins.items) + sum(size) // -capacity  # bins above the least number that could do
-    if spare <= 0 or patience == 0:
-        return bins.items
-    offers = _Offers(bins, size)
+    return bins
+
+
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, patience: int | None = None, steps: dict[str, int] | None = None) -> list[list[int]]:
+    """Bins as lists of indices into sizes (each at most capacity), by local search from a plain placement in order; where that
+    leaves more bins than the least number that could do, also from best fit in decreasing order, and the fewer bins count (ties: the
+    first).  `patience` ends a search after so many rounds; no item is ever left out.  `steps` counts the steps of each kind."""
+    size = [int(s) for s in sizes]
+    least = -(sum(size) // -capacity)
+    best: list[list[int]] | None = None
+    for start in (placed, best_fit):
+        found = improve(start(size, capacity), size, least, patience, {} if steps is None else steps)
+        if best is None or len(found) < len(best):
+            best = found
+        if len(best) <= least:
+            break
+    return best
+
+
+def improve(bins: _Bins, size: list[int], least: int, patience: int | None, steps: dict[str, int]) -> list[list[int]]:
+    """Local search: steps that move an item between underfull bins, or exchange one for one, one for two or two for one, each
+    of which makes the sum of squared fills grow, until bins empty.  It ends when no underfull bin has such a step with any
+    other, or the bins are as few as can be."""
+    spare = len(bins.items) - least
+    offers: list[_Offers] = []
+
+    def moves(donor: int) -> bool:
+        """Moves of the donor's items into the tightest rooms, largest first, as long as they make a fuller bin."""
+        some = False
+        for i in sorted(bins.items[donor], key=lambda i: -size[i]):
+            b = bins.tightest(size[i], donor)
+            if b >= 0 and bins.free[b] - size[i] < bins.free[donor]:
+                bins.take(donor, i, size[i])
+                bins.add(b, i, size[i])
+                steps["move"] = steps.get("move", 0) + 1
+                some = True
+        return some
+
+    def exchanges(donor: int) -> bool:
+        """Steps of all kinds, found in tables of what underfull bins would hand back: none or one item, and only when
+        those have none, two."""
+        some = False
+        while bins.items[donor]:
+            if not offers:
+                offers.append(_Offers(bins, size, False))
+            found = offers[0].best(donor)
+            if not found:
+                if len(offers) < 2:
+                    offers.append(_Offers(bins, size, True))
+                found = offers[1].best(donor)
+            if not found:
+                break
+            b, give, take = found
+            for j in take:
+                bins.take(b, j, size[j])
+            for i in give:
+                bins.take(donor, i, size[i])
+                bins.add(b, i, size[i])
+            for j in take:
+                bins.add(donor, j, size[j])
+            for table in offers:
+                table.put(b)
+                table.put(donor)
+            kind = f"{len(give)} for {len(take)}" if take else "move"
+            steps[kind] = steps.get(kind, 0) + 1
+            some = True
+        return some
+
     rounds = 0
-    moved = True
-    while moved and spare > 0 and rounds != patience:
-        moved = False
-        rounds += 1
-        for donor in sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.free[b]), key=lambda b: (-bins.free[b], b)):
-            while bins.items[donor] and (found := offers.best(donor)):
-                b, give, take = found
-                for j in take:
-                    bins.take(b, j, size[j])
-                for i in give:
-                    bins.take(donor, i, size[i])
-                    bins.add(b, i, size[i])
-                for j in take:
-                    bins.add(donor, j, size[j])
-                offers.put(b)
-                offers.put(donor)
-                moved = True
-            if not bins.items[donor]:
-                spare -= 1
-                if spare <= 0:
-                    break
+    for search in (moves, exchanges):
+        moved = True
+        while moved and spare > 0 and rounds != patience:
+            moved = False
+            rounds += 1
+            for donor in bins.underfull():
+                if bins.items[donor] and search(donor):
+                    moved = True
+                    if not bins.items[donor]:
+                        spare -= 1
+                        if spare <= 0:
+                            break
     return [b for b in bins.items if b]
 
 
 def _sums(own: list[int]) -> tuple[list[int], list[int]]:
     """The distinct sizes, and the distinct sums of two items."""
-    values = sorted(set(own))
-    pairs = {v + w for n, v in enumerate(values) for w in values[n + 1 :]} | {2 * v for v in values if own.count(v) > 1}
+    times = Counter(own)
+    values = sorted(times)
+    pairs = {v + w for n, v in enumerate(values) for w in values[n + 1 :]} | {2 * v for v in values if times[v] > 1}
     return values, sorted(pairs)
 
 
 class _Offers:
-    """What underfull bins would hand back for larger items: nothing, one item or two, by size.  A bin that changes
-    is written anew at the end, so a donor that found nothing looks only at what has come since."""
+    """What underfull bins would hand back for larger items, by size: nothing or one item, or (pairs) two.  A bin that
+    changes is written anew at the end, so a donor that found nothing looks only at what has come since."""
 
-    def __init__(self, bins: _Bins, size: list[int]):
-        self.bins, self.size = bins, size
+    def __init__(self, bins: _Bins, size: list[int], pairs: bool):
+        self.bins, self.size, self.pairs = bins, size, pairs
         self.n = self.live = 0
-        self.table = np.empty((4, 1 << 12), np.int64)  # bin (-1: gone), free room, size handed back, items handed back
+        self.table = np.empty((4, 1 << 12), np.int32)  # bin (-1: gone), free room, size handed back, items handed back
         self.at: dict[int, tuple[int, int]] = {}
         self.seen: dict[int, int] = {}
         for b in range(len(bins.items)):
@@ -232,15 +300,15 @@ class _Offers:
         room = self.bins.free[b]
         if not room or not self.bins.items[b]:
             return
-        one, two = _sums([self.size[i] for i in self.bins.items[b]])
-        back = [0, *one, *two]
+        own = [self.size[i] for i in self.bins.items[b]]
+        back = _sums(own)[1] if self.pairs else [0, *sorted(set(own))]
         if self.n + len(back) > self.table.shape[1]:
             self._tidy(len(back))
         end = self.n + len(back)
         self.table[0, self.n : end] = b
         self.table[1, self.n : end] = room
         self.table[2, self.n : end] = back
-        self.table[3, self.n : end] = [0] + [1] * len(one) + [2] * len(two)
+        self.table[3, self.n : end] = 2 if self.pairs else [0] + [1] * (len(back) - 1)
         self.at[b] = (self.n, end)
         self.live += len(back)
         self.n = end
@@ -248,7 +316,7 @@ class _Offers:
     def _tidy(self, more: int) -> None:
         kept = self.table[0, : self.n] >= 0
         place = np.concatenate([[0], np.cumsum(kept)])
-        grown = np.empty((4, 2 * (self.live + more)), np.int64)
+        grown = np.empty((4, 2 * (self.live + more)), np.int32)
         grown[:, : self.live] = self.table[:, : self.n][:, kept]
         self.table, self.n = grown, self.live
         self.at = {b: (int(place[i]), int(place[j])) for b, (i, j) in self.at.items()}
@@ -256,18 +324,21 @@ class _Offers:
 
     def best(self, donor: int) -> tuple[int, list[int], list[int]] | None:
         """(bin, items to give, items to take) of a step that makes the sum of squared fills grow: the largest item
-        that can move, into the tightest room; else the exchange with the emptiest bin that fills it most."""
+        that can move, into the tightest room; else the exchange with the emptiest bin that fills it most; ties to the lowest bin."""
         where, room, back, many = self.table[:, self.seen.get(donor, 0) : self.n]
         free, width = self.bins.free[donor], self.bins.capacity + 1
         one, two = _sums([self.size[i] for i in self.bins.items[donor]])
-        single, either = np.array([-1, *one]), np.array([-1, *sorted({*one, *two})])
+        single = np.array([-1, *one])
         most = back + room
-        given = np.where(many == 1, either[np.searchsorted(either, most, "right") - 1], single[np.searchsorted(single, most, "right") - 1])
+        given = single[np.searchsorted(single, most, "right") - 1]
+        if not self.pairs:  # for one item, one or two
+            either = np.array([-1, *sorted({*one, *two})])
+            given = np.where(many == 1, either[np.searchsorted(either, most, "right") - 1], given)
         good = np.flatnonzero((given > back + np.maximum(0, room - free)) & (where >= 0) & (where != donor))
         if not len(good):
             self.seen[donor] = self.n
             return None
-        where, room, back, many, given = where[good], room[good], back[good], many[good], given[good]
+        where, room, back, many, given = where[good], room[good].astype(np.int64), back[good], many[good], given[good]
         rank = np.where(many == 0, width * width + given * width + width - room, room * width + given - back)
         i = np.lexsort((many, back, where, -rank))[0]
         b = int(where[i])
@@ -287,16 +358,16 @@ class _Offers:
         raise AssertionError("no such items")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096, shard_items: int = 50_000, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs(doc_id, text)."""
     cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id, words=words, chunk=chunk))
-    total = cut_pieces.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(total / capacity / shard_bins))
+    total, count = cut_pieces.agg(F.sum("length"), F.count("*")).first()
+    shards = max(1, round((total or 0) / capacity / shard_bins), -(-count // shard_items))
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tx.groups(batches, ["shard"]):
-            table = table.combine_chunks().sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "start", "ids_crc32")])
+            table = table.combine_chunks().sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
             length = table["length"].to_numpy()
             shard = int(table["shard"][0].as_py())
             order, seq, offset = [], [], []
@@ -311,6 +382,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
             out = out.append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
             yield from out.combine_chunks().to_batches()
 
-    dealt = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # the row's number in the written table deals out rows that repeat a document, too
+    dealt = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

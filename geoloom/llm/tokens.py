@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import repeat
@@ -76,9 +77,16 @@ def encode_each(library, parts: list[str], alpha: np.ndarray, lead: str) -> tupl
 
 
 def split_marks(names: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Each name without its closing marks, if that is letters alone (else whole), and the marks taken off."""
+    """Each name without its closing marks, if that is letters alone (else whole), and the marks taken off.  Letters are
+    those that all Unicode tables and normalisers agree on: a name outside their old ranges, or with other than letters when it
+    is composed and in lower case, stays whole."""
     bare = pc.utf8_rtrim(names, characters=MARKS)
     letters = pc.utf8_is_alpha(bare)
+    wide = np.flatnonzero(pc.and_(letters, pc.invert(pc.string_is_ascii(bare))).to_numpy(zero_copy_only=False))
+    if len(wide):
+        sure = letters.to_numpy(zero_copy_only=False).copy()
+        sure[wide] = [max(n) < "\u0530" and unicodedata.normalize("NFC", n).lower().isalpha() for n in bare.take(pa.array(wide)).to_pylist()]
+        letters = pa.array(sure)
     core = pc.if_else(letters, bare, names)
     cut = pc.subtract(pc.binary_length(names), pc.binary_length(core)).to_numpy(zero_copy_only=False)
     tails = np.full(len(names), "", object)
