@@ -232,3 +232,42 @@ def test_ties_beyond_the_first_candidates(spark):
     asked = spark.createDataFrame([(999, [3.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     got = ann.nearest(vectors, asked, k=5).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
+
+
+def test_recall_over_several_shards(spark):
+    """6,000 vectors in six shards, some of them scaled or exact copies, against brute force."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.6 * rng.normal(size=(6000, 24))
+    base[4000:4400] = base[:400] * rng.choice([2.0, 3.0, 0.1], (400, 1))
+    base[4400:4500] = base[7]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    asked = [i for i in range(6000) if i % 40 == 0]
+    got = {}
+    for r in ann.nearest(vectors, vectors.where("vec_id % 40 = 0"), k=5, shard_points=1000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert abs(r.score - float(unit[r.query_id] @ unit[r.vec_id])) < 1e-12
+    hits = 0
+    for q in asked:
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(set(got[q]) & set(np.lexsort((np.arange(6000), -score.round(12)))[:5].tolist()))
+    assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_ties_by_brute_force(spark):
+    """Whole-number vectors, so that scores tie exactly, by collinear rows and by symmetry."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(2 ** rng.integers(0, 9)) if j == i % 4 else 0.0 for j in range(4)]) for i in range(500)] + [(500 + i, [1.0 + i % 3, 1.0, 1.0, 0.0]) for i in range(60)]
+    rows += [(900 + i, [1e200, 1e200 if i % 2 else -1e200, 0.0, 0.0]) for i in range(10)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {}
+    data = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    for q in [i for i in data if i % 50 == 0]:
+        scored = sorted((-round(float(data[q] @ v / np.sqrt((data[q] @ data[q]) * (v @ v))), 12), i) for i, v in data.items() if i != q)
+        exact[q] = [i for _, i in scored[:5]]
+    for shard_points in (10_000, 100):
+        got = {}
+        for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, shard_points=shard_points).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == exact
