@@ -7,12 +7,11 @@ from their lineage by checkpoints between rounds.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import operator
+from ..session import shared_dir
 from .raster import AROUND, neighbours
 
 #: Direction codes: east 0, then clockwise (as seen with rows downwards) to north-east 7.
@@ -21,10 +20,10 @@ PIT = 255
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's folder; in a temporary one only where none is set, as in tests."""
+    """A checkpoint in the folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="geoloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

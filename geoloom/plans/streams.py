@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.base import rounded
+from ..session import shared_dir
 from ..streaming import readings
 from . import fixtures as fx
 from .catalog import query, r
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="geoloom-")
-    return f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

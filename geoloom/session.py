@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution re-plans joins from measured sizes, splits skewed partitions and merges small ones.
@@ -20,3 +22,15 @@ def session(app: str = "geoloom", **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.  Where that is unset, a temporary one in local mode, as in tests; on a cluster an
+    error, as executors and the driver would not see each other's files."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
