@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, settle
 
 
 def _sum(e: DataFrame) -> tuple:
@@ -19,6 +19,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Each step moves one row per edge, and minima are pre-aggregated, so a hub is no bottleneck; the number of
     rounds grows with the logarithm of the component's size.  Nothing but two sums per round reaches the driver.
     """
+    return settle(lambda: _components(edges, rounds))
+
+
+def _components(edges: DataFrame, rounds: int) -> DataFrame:
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _sum(e)
     for _ in range(rounds):

@@ -10,9 +10,10 @@ One pass over the texts: a window's band values, and the text's shingles, are ch
 size made from the items, so that only what may match leaves the pass; the items are joined, not broadcast,
 and may be many.
 
-Items of fewer than k words have no shingle that could lie inside a longer text, and are never found; null or
-empty texts and items match nothing; repeated rows and items each give their own matches; empty tables give empty
-results; extra columns are ignored; texts are read whole.
+An item of fewer than k words is one shingle of all its words, and is found where a text has that run of words.
+Null texts, empty ones and those without words match nothing, and items like them are never found; repeated rows and items each
+give their own matches, so there are no ties; empty tables give empty results; extra columns are ignored, whatever
+their names; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -50,8 +51,14 @@ def _key(values: np.ndarray, r: int, b: int) -> np.ndarray:
     return tx.mix(values.astype(np.uint64) | (np.uint64(r) << np.uint64(56)) | (np.uint64(b) << np.uint64(40))).view(np.int64)
 
 
+def _run_keys(word: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every run of n words, offsets), for items of n words, fewer than a shingle's."""
+    run, run_off = tx.shingles(word, off, n)
+    return tx.mix(run, 100 + n), run_off
+
+
 def _items(items: DataFrame, k: int, threshold: float, recall: float) -> DataFrame:
-    """(item_id, size range, shingles, band keys) of every item that can be found."""
+    """(item_id, size range, shingles, band keys) of every item that can be found; of a short item minus its words, and its run."""
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,16 +66,21 @@ def _items(items: DataFrame, k: int, threshold: float, recall: float) -> DataFra
             for part in tx.chunks(batch, "text"):
                 word, w_off = tx.words(tx.column(part, "text"))
                 shingle, off = tx.distinct(*tx.shingles(word, w_off, k))
-                rows, keys = [], []
+                rows, keys, sets = [], [], []
                 for i in np.flatnonzero(np.diff(w_off) >= k):
                     own = shingle[off[i] : off[i + 1]]
                     r = min(int(np.searchsorted(RANGES, len(own))), len(RANGES) - 1)
                     base = (tx.mix(own, 98) >> np.uint64(32)).astype(np.uint32)
                     rows.append((i, r))
                     keys.append([int(_key(_permuted(base, b).min()[None], r, b)[0]) for b in range(bands_for(RANGES[r], threshold, recall))])
+                    sets.append(own.view(np.int64).tolist())
+                for n in range(1, k):
+                    for i in np.flatnonzero(np.diff(w_off) == n):
+                        rows.append((i, -n))
+                        sets.append(_run_keys(word[w_off[i] : w_off[i + 1]], np.array([0, n]), n)[0].view(np.int64).tolist())
+                        keys.append(sets[-1])
                 if rows:
                     at = [i for i, _ in rows]
-                    sets = [shingle[off[i] : off[i + 1]].view(np.int64).tolist() for i in at]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(at, pa.int64())), pa.array([r for _, r in rows], pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                         ["item_id", "size_range", "grams", "keys"],
@@ -101,6 +113,13 @@ def _window_hits(shingle: np.ndarray, off: np.ndarray, r: int, bands: int, wante
     return np.concatenate(texts), np.concatenate(keys)
 
 
+def _run_hits(word: np.ndarray, off: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of runs of n words that may be an item."""
+    key, run_off = _run_keys(word, off, n)
+    found = hit(wanted, key)
+    return np.repeat(np.arange(len(off) - 1), np.diff(run_off))[found], key[found]
+
+
 def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of every document row and item whose containment is at
     least the threshold."""
@@ -109,8 +128,9 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int
 
 def _found(docs: DataFrame, items: DataFrame, threshold: float, k: int, recall: float) -> DataFrame:
     known = cut(_items(items, k, threshold, recall))
-    bands = [bands_for(RANGES[r], threshold, recall) for r in sorted(x[0] for x in known.select("size_range").distinct().collect())]
-    ranges = sorted(x[0] for x in known.select("size_range").distinct().collect())
+    ranges = sorted(x[0] for x in known.select("size_range").distinct().collect())  # k - 1 and 21 at most
+    shorts, ranges = [-r for r in ranges if r < 0], [r for r in ranges if r >= 0]
+    bands = [bands_for(RANGES[r], threshold, recall) for r in ranges]
     keys = known.select("item_id", F.explode("keys").alias("key"))
     grams = known.select(F.explode("grams").alias("gram"))
     key_bits, gram_bits = bitmap(keys, "key"), bitmap(grams, "gram")
@@ -119,8 +139,11 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float, k: int, recall:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.chunks(batch, "text"):
-                shingle, off = tx.shingles(*tx.words(tx.column(part, "text")), k)
+                word, w_off = tx.words(tx.column(part, "text"))
+                shingle, off = tx.shingles(word, w_off, k)
                 got = [_window_hits(shingle, off, r, n, key_bits) for r, n in zip(ranges, bands)]
+                runs = [_run_hits(word, w_off, n, key_bits) for n in shorts]
+                got += [(text, key.view(np.int64)) for text, key in runs]
                 if not got:
                     continue
                 text, key = (np.concatenate(x) for x in zip(*got))
@@ -131,8 +154,9 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float, k: int, recall:
                 length = np.diff(off)[rows]
                 mine = shingle[tx.ragged(off[rows], length)]
                 may = hit(gram_bits, mine)
-                owner = np.repeat(np.arange(len(rows)), length)[may]
-                mine, m_off = tx.distinct(mine[may], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))]).astype(np.int64))
+                owner = np.concatenate([np.repeat(np.arange(len(rows)), length)[may], *[np.searchsorted(rows, text) for text, _ in runs]])
+                mine = np.concatenate([mine[may], *[key for _, key in runs]])[np.argsort(owner, kind="stable")]
+                mine, m_off = tx.distinct(mine, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))]).astype(np.int64))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(2).take(take), tx.list_array(pairs[1], np.append(cuts, len(pairs[1]))), tx.list_array(mine.view(np.int64), m_off)],

@@ -21,22 +21,25 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int = MAX_TRAIN_ROWS, chars: int = MAX_TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most `rows` labelled rows outside the held-out fold, in the order of a hash of
-    doc_id, as many as fit in `chars`.  Null texts, labels and ids are left out."""
+    doc_id; those that do not fit in what is left of `chars` are passed over.  Null texts, labels and ids are left out; a doc_id with
+    several labels has its least one."""
     lab = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     lab = lab.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id", "y").limit(rows)
     # at most `rows` rows of three numbers, whatever the input; their lengths tell how many fit
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = own.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("th")).join(F.broadcast(lab), "doc_id").groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.min("o").alias("o"), F.min("y").alias("y"))
+    # joined first: only labelled texts are measured and hashed
+    size = own.join(F.broadcast(lab), "doc_id").select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("th"), "o", "y").groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.min("o").alias("o"), F.min("y").alias("y"))
     chosen, held = [], 0
     for r in size.orderBy("o", "doc_id", "th").limit(rows).collect():
+        if held + r["n"] > chars:
+            continue
         held += r["n"]
-        if held > chars:
-            break
         chosen.append((r["doc_id"], r["th"], len(chosen), r["y"]))
     if not chosen:
         return [], np.empty(0)
     wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, th long, place int, y int")
-    got = own.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "th"]).select("place", "text")
+    named = own.join(F.broadcast(wanted.withColumnRenamed("th", "wanted")), "doc_id")
+    got = named.where(F.xxhash64("text") == F.col("wanted")).select("place", "text")
     texts = dict.fromkeys(range(len(chosen)), "")
     for r in got.toLocalIterator():
         texts[r["place"]] = r["text"]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import bitmap, cut, hit, small
+from .store import bitmap, cut, hit, settle, small
 
 #: Cells of the count table (2 MB), and bits of the tables of words seen once and twice (2 MB each): all that the
 #: driver gathers, whatever the data.
@@ -50,20 +50,27 @@ class _Rarity:
 
     def __init__(self):
         self.count = np.zeros(1 << COUNT_BITS, np.int64)
-        self.once = np.zeros(1 << SEEN_BITS, bool)
-        self.again = np.zeros(1 << SEEN_BITS, bool)
+        self.once = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+        self.again = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
 
     def add(self, known: np.ndarray, times: np.ndarray) -> None:
         self.count += np.bincount((known & np.uint64(len(self.count) - 1)).astype(np.int64), times, len(self.count)).astype(np.int64)
         cell, n = np.unique((known >> np.uint64(64 - SEEN_BITS)).astype(np.int64), return_inverse=True)
         n = np.bincount(n, times)
-        self.again[cell[self.once[cell] | (n > 1)]] = True
-        self.once[cell] = True
+        bit = np.uint8(1) << (cell & 7).astype(np.uint8)
+        twice = ((self.once[cell >> 3] & bit) > 0) | (n > 1)
+        np.bitwise_or.at(self.again, cell[twice] >> 3, bit[twice])
+        np.bitwise_or.at(self.once, cell >> 3, bit)
 
     def rows(self) -> pa.RecordBatch:
         cuts = lambda a: [x.tobytes() for x in np.split(a, _SLICES)]
-        bits = lambda a: cuts(np.packbits(a))
-        return pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "count": pa.array(cuts(self.count), pa.binary()), "once": pa.array(bits(self.once), pa.binary()), "again": pa.array(bits(self.again), pa.binary())})
+        return pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "count": pa.array(cuts(self.count), pa.binary()), "once": pa.array(cuts(self.once), pa.binary()), "again": pa.array(cuts(self.again), pa.binary())})
+
+
+def _seen(bits: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    cell = (known >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
 
 def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +98,7 @@ def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     out = docs.select("text").mapInArrow(gather, schema).repartition(_SLICES // 8, "slice").mapInArrow(merge, schema)
     rows = sorted((r["slice"], r["count"], r["again"]) for r in out.toLocalIterator())
     if not rows:
-        return np.zeros(1 << COUNT_BITS, np.int64), np.zeros(1 << SEEN_BITS, bool)
+        return np.zeros(1 << COUNT_BITS, np.int64), np.zeros(1 << (SEEN_BITS - 3), np.uint8)
     return np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.int64), np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8)
 
 
@@ -119,13 +126,12 @@ def _classes(docs: DataFrame, rarity: tuple[np.ndarray, np.ndarray], threshold:
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(again).view(bool) if again.dtype == np.uint8 else again
         for batch in batches:
             for part in tx.chunks(batch, "text"):
                 lists = pc.split_pattern(tx.column(part, "text"), "\n")
                 text_off = tx.offsets_of(lists)
                 code, off, known = tx.coded(lists.flatten())
-                twice = seen[(known >> np.uint64(64 - SEEN_BITS)).astype(np.int64)]
+                twice = _seen(again, known)
                 order = np.lexsort((known, count[(known & np.uint64(len(count) - 1)).astype(np.int64)], twice))
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
@@ -237,12 +243,16 @@ def _first_pairs(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _other_pairs(classes: DataFrame, gone: DataFrame, threshold: float) -> DataFrame:
-    """(id, other): classes that are not gone with earlier ones.  The smaller set of a pair (the earlier of two of one size)
-    needs a shorter prefix than the larger."""
+    """(id, other): classes that are not gone with earlier ones, gone or not.  The smaller set of a pair (the earlier of two of
+    one size) needs a shorter prefix than the larger, so open classes are joined twice, as the one and as the other; pairs
+    of two classes that are gone are never met.  Adaptive execution splits the partitions of frequent tokens."""
     marked = classes.join(small(gone).withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull())
     index = f"x_pos <= x_size - {2 * threshold / (1 + threshold)!r}D * x_size + 1e-9D"
-    both = _prefixes(marked, "x").where(index).join(_prefixes(marked, "y"), "token")
-    both = both.where(f"(x_size < y_size or (x_size = y_size and x_id < y_id)) and {_possible('x', 'y', threshold)} and case when x_id > y_id then x_open else y_open end")
+    ordered = f"(x_size < y_size or (x_size = y_size and x_id < y_id)) and {_possible('x', 'y', threshold)}"
+    smaller, larger = _prefixes(marked, "x").where(index), _prefixes(marked, "y")
+    one = smaller.join(larger.where("y_open"), "token").where(f"{ordered} and x_id < y_id")
+    other = smaller.where("x_open").join(larger, "token").where(f"{ordered} and x_id > y_id")
+    both = one.select("x_id", "y_id").unionByName(other.select("x_id", "y_id"))
     return both.select(F.greatest("x_id", "y_id").alias("id"), F.least("x_id", "y_id").alias("other")).distinct()
 
 
@@ -251,10 +261,9 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     docs = docs.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     classes = cut(_classes(docs, _rarity(docs), threshold))
-    gone = cut(_similar(_first_pairs(classes, threshold), classes, docs, threshold))
-
-    rest = _other_pairs(classes, gone, threshold)
-    gone = cut(gone.unionByName(_similar(rest, classes, docs, threshold)))
+    gone = settle(lambda: _similar(_first_pairs(classes, threshold), classes, docs, threshold))
+    more = settle(lambda: _similar(_other_pairs(classes, gone, threshold), classes, docs, threshold))
+    gone = gone.unionByName(more)
     return classes.select("id", "doc_id", "th", "line").join(small(gone), "id", "left_anti").drop("id")
 
 

@@ -34,6 +34,9 @@ from .store import bitmap, cut, hit
 #: Classes and shingles in a sub-block at most; bounds a task's memory.
 BLOCK_CLASSES = 1500
 BLOCK_SHINGLES = 1_500_000
+#: Smaller blocks are dealt in parts of so many classes, too, up to so many parts: a block is the work of several tasks.
+PART_CLASSES = 200
+PARTS = 12
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
@@ -217,10 +220,11 @@ def _linked(docs: DataFrame, threshold: float, k: int, recall: float) -> DataFra
     banded = classes.select("h", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("top > b").select("band", "b")
     stars = banded.join(least, "band").where("h <> b").select(F.col("h").alias("a"), "b").distinct()
-    blocks = cut(components(stars).withColumnsRenamed({"node": "h", "root": "block"}))
+    blocks = components(stars).withColumnsRenamed({"node": "h", "root": "block"})
 
     own = blocks.join(classes.select("h", "members", "n"), "h")
-    sizes = own.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    several = F.least(F.lit(PARTS), F.ceil(F.count("*") / PART_CLASSES))
+    sizes = own.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES), several).cast("int").alias("parts"))
     own = own.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     grams = _sets(docs, k, bitmap(blocks, "h")).groupBy("h").agg(F.first("grams").alias("grams"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

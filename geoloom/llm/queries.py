@@ -83,7 +83,10 @@ def _shingles(table: str, key: str, least: int) -> str:
 
 
 DECONTAMINATION_SQL = f"""WITH {_shingles("documents", "doc_id", 5)}, {_shingles("benchmark", "item_id", 5)},
-size AS (SELECT item_id, count(*) AS n FROM item_id_s GROUP BY item_id)
+size AS (SELECT item_id, count(*) AS n FROM item_id_s GROUP BY item_id),
+short AS (SELECT item_id, len(w) AS l, array_to_string(w, ' ') AS s FROM item_id_w WHERE len(w) BETWEEN 1 AND 4),
+run AS (SELECT DISTINCT doc_id, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM (SELECT doc_id, w, l, unnest(range(1, greatest(1, len(w) - l + 2))) AS i FROM doc_id_w, (SELECT DISTINCT l FROM short)))
+SELECT r.doc_id, i.item_id, 1::BIGINT AS n_shared, 1::BIGINT AS n_shingles, 1.0::DOUBLE AS containment FROM run r JOIN short i ON r.l = i.l AND r.s = i.s UNION ALL
 SELECT d.doc_id, i.item_id, count(*) AS n_shared, max(size.n) AS n_shingles, count(*) / max(size.n)::DOUBLE AS containment
 FROM doc_id_s d JOIN item_id_s i ON d.s = i.s JOIN size ON size.item_id = i.item_id GROUP BY d.doc_id, i.item_id HAVING count(*) / max(size.n)::DOUBLE >= 0.8"""
 

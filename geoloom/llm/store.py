@@ -3,39 +3,46 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
+_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Spark's own switch to remove an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it again: lost executors cost no recomputation
-    of what lies before.  The table goes when the program ends.  Spark removes the shuffle files of what nobody refers to
-    any more when the driver collects garbage, so it is asked to."""
+    of what lies before.  Its shuffle files go when it is written; the table goes when the program ends, or with settle()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/geoloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = f"{shared_dir(spark)}/geoloom-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut() what `make` plans, and delete the tables that were written on the way to it."""
+    before = len(_WRITTEN)
+    out = cut(make())
+    kept = _WRITTEN.pop()
+    while len(_WRITTEN) > before:
+        _delete(*_WRITTEN.pop())
+    _WRITTEN.append(kept)
+    return out
+
+
 #: Rows of one or two numbers that may be broadcast (16 MB at most).
 BROADCAST_ROWS = 1_000_000
 
@@ -45,14 +52,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_written() -> None:
     """Delete the tables cut() wrote.  Only for when no result built on them is still to be read."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_WRITTEN.pop())
         except Exception:  # the session has ended; the folder is then the cluster's to clean
             return
 

@@ -138,11 +138,12 @@ def test_line_dedup(spark, sf_dir):
 
 
 def brute_items(docs, items, threshold=0.8):
-    sets = [(i, text.plain_shingles(t)) for i, t in items if len(text.plain_words(t)) >= 5]
+    sets = [(i, text.plain_shingles(t), len(text.plain_words(t))) for i, t in items if text.plain_words(t)]
     out = []
     for d, t in docs:
-        own = text.plain_shingles(t)
-        for i, s in sets:
+        words = text.plain_words(t)
+        for i, s, n in sets:
+            own = text.plain_shingles(t) if n >= 5 else {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}
             if len(s & own) / len(s) >= threshold:
                 out.append((str(d), str(i), len(s & own), len(s)))
     return sorted(out)
@@ -152,7 +153,7 @@ def test_decontamination(spark, sf_dir):
     rng = random.Random(8)
     words = [f"v{i}" for i in range(3000)]
     pick = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [pick(n) for n in (4, 5, 6, 9, 13, 14, 30, 55, 120, 700)]
+    items = [pick(n) for n in (4, 5, 6, 9, 13, 14, 30, 55, 120, 700, 1, 2)]
     rows = []
     for i in range(60):
         item = items[i % len(items)]
