@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from geoloom.llm.queries import PACKING_TOKENIZER, table, tokenizer_path
-from geoloom.llm.store import cut
+from geoloom.llm.store import settle
 
 #: No SQL expresses the trained classifier, MinHash or the packing; tests/llm holds run() against brute force.
 ORACLE_SQL = None
@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
