@@ -83,13 +83,15 @@ class Vocabulary:
 
     def sentences(self) -> tuple[np.ndarray, np.ndarray]:
         """(offsets of the sentences in the codes, offsets of the texts in the sentences).  A sentence ends with
-        a word that ends in . ! or ?, with a line, or with the text."""
+        a word that ends in . ! or ?, with a line, or with the text; what holds no word is none, and counts to the next one."""
         n = len(self.code)
         last = np.zeros(n, bool)
         if n:
             last |= self.ends_sentence[self.code]
             last[self.off[1:][np.diff(self.off) > 0] - 1] = True
+            words = np.concatenate([[0], np.cumsum(self.is_word[self.code])])
+            ends = np.flatnonzero(last) + 1
+            last[ends - 1] = np.diff(words[np.concatenate([[0], ends])]) > 0
         ends = np.flatnonzero(last) + 1
-        text_off = np.searchsorted(ends, self.off, side="right")
         text_off = np.concatenate([[0], np.cumsum(last)])[self.off]
         return np.concatenate([[0], ends]).astype(np.int64), text_off

@@ -2,12 +2,13 @@
 
 logit(x) = w0 + sum w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ], which is all pairwise
 interactions of rank `RANK`, in time linear in the features (the sum-of-squares identity).  Features: hashed
-words (as their share of the text, by word and by letters at either end), structure statistics and the
+words (as their share of the text, by word and by first four letters), structure statistics and the
 metadata of the text (its length in characters, words, lines).  doc_id, lang, source and labels are no inputs.
 
 The fit uses at most features.MAX_TRAIN_ROWS labelled rows (a documented bound); every row is scored on
-its whole text.  Null and empty texts are scored from their statistics (all zero); repeated rows are scored
-each; empty tables give empty results; without labels every row scores 0.5; extra columns are ignored.
+its whole text, however long.  Null and empty texts are scored from their statistics (all zero); repeated rows are scored
+each; there are no ties; empty tables give empty results; without labels every row scores 0.5; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

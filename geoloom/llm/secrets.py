@@ -5,15 +5,16 @@ candidates, which are reported only where complementary parts stand within `scop
   weak_secret  short values of secret-like keys, and bare 40-character tokens: with an identifier or an endpoint;
   identifier   user, client or account names: with a secret, base or weak;
   endpoint     addresses of services: with an identifier and a secret.
-Weak candidates that overlap a base span are that span.
+Weak secrets and identifiers that overlap a base span are that span; an endpoint may hold one, and both are reported.
 
 Positions come from split() and regexp_extract_all() on the same pattern.  The interval join is an equi-join on
 (document, cell), cells as wide as the scope: parts are first reduced to the least and greatest start per document, cell and
 role, so that a candidate meets a bounded number of rows however many parts stand near it, and no
 text is shuffled.
 
-Null texts are empty; empty texts have no spans; rows that repeat doc_id and text get the same spans each; empty tables give
-empty results; extra columns are ignored; whole texts are read.
+Null texts are empty; empty texts have no spans; rows that repeat doc_id and text get the same spans each; spans of one start come in the
+order of their kinds (then of their ends); empty tables give empty results; extra columns are ignored, whatever their names; texts are read
+whole, however long.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ ENDPOINT = r"""(?i)(?:\b[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+|\b(?:host|hostname|e
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "weak_secret", "identifier", "endpoint")
+RUN = 256
 SPAN = "struct<start:long,rank:int,kind:string,end:long>"
 
 
@@ -48,6 +50,8 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0, most: int = 0,
     else:
         parts = F.arrays_zip(whole.alias("m"), F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("v"))
 
+    none = F.array().cast(f"array<{SPAN}>")
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
@@ -56,8 +60,14 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0, most: int = 0,
         keeps = (size >= least) if not most else (size >= least) & (size <= most)
         return F.struct(end.cast("long").alias("at"), F.when(keeps, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    def after(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    # places are sums of lengths, over runs of matches first and then over runs, so that no long array grows match by match
+    empty = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(RUN)), lambda b: F.aggregate(F.slice(parts, b, RUN), empty, step))
+    found = F.aggregate(runs, empty, after, lambda acc: acc["spans"])
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 

@@ -7,7 +7,7 @@ token of every prefix's encoding is stored, so each prefix's encoding is that of
 plus one token).  n_tokens and over_limit are look-ups in those tables, as are truncation and budget questions.
 
 Nulls count as empty texts (0 tokens); empty tables give empty results; repeated rows are counted
-each; extra columns are ignored.  Texts whose blanks stand beside other white space, and texts with
+each; extra columns are ignored, whatever their names; long texts are counted whole; there are no ties.  Texts whose blanks stand beside other white space, and texts with
 special tokens, are summed up piece by piece.
 """
 
@@ -291,7 +291,8 @@ class ChunkCounts:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of docs(doc_id, text)."""
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) and bytes_in_limit (bytes of the longest start of the text, in whole
+    words, that the first `limit` tokens cover; n_bytes if that is all) of every row of docs(doc_id, text)."""
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +300,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
         for batch in batches:
             for part in tx.chunks(batch, "text", TOKEN_BYTES):
                 texts = tx.column(part, "text")
-                _, sums, off = table.prefixes(texts)
+                ends, sums, off = table.prefixes(texts)
                 n = table.totals(sums, off)
                 passed = np.concatenate([[0], np.cumsum(sums > limit)])  # a text is over the limit where a prefix is
                 over = np.diff(passed[off]) > 0
+                kept = tx.segments(np.maximum, np.where(sums <= limit, ends, 0), off, 0)
                 size = pc.binary_length(texts).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(over), pa.array(kept)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_in_limit"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, bytes_in_limit long")
 
 
 class PrefixTable:

@@ -6,8 +6,9 @@ document labels alone, by gradient descent on the document's log loss; the sente
 locate the sentences that offend.
 
 The fit uses at most features.MAX_TRAIN_ROWS labelled rows (a documented bound); every row is scored
-on its whole text.  Null and empty texts have no sentence and score 0; repeated rows are scored each;
-empty tables give empty results; a corpus without labels gives score 0 to all; extra columns are ignored.
+on its whole text, however long.  Null and empty texts have no sentence and score 0; repeated rows are scored each;
+of sentences that score alike the first is the worst; empty tables give empty results; a corpus without labels gives score 0 to
+all; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ BITS = 18
 
 
 class Model:
-    """Weights of hashed word features, and a bias; `scale` maps word scores into the sentence's logit."""
+    """Weights of hashed word features, and a bias."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -114,8 +115,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the first character offsets free `sentences`: how many sentences
-    of the document score at least the threshold by themselves, and the index of the worst."""
+    """doc_id, held_out, score, predicted, n_offending (how many sentences score at least the threshold by themselves) and
+    worst_sentence (the place of the one with the highest score, -1 if there is none) of every row of docs(doc_id, text)."""
     weights, bias = model.weights.astype(np.float32), model.bias
 
     @tx.lean

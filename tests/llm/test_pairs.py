@@ -226,6 +226,35 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null, empty, repeated, very long and clashing rows through every stage, and empty tables."""
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(30))
+    item = " ".join(f"bench{i}" for i in range(20))
+    rows = [(0, None), (1, ""), (2, line), (3, line), (4, line + " changed"), (5, "a\nb c d\n" + line), (6, "x " * 50 + item + " y" * 50), (7, "..."), (8, " ".join(f"long{i}" for i in range(60_000))), (None, "no id at all"), (2, line), (9, "short one")]
+    rows = [(i, t, "en", "s", len(t) if t else 0, "clash") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, th string")
+    tables = {"documents": docs, "benchmark": spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string"), "labels": spark.createDataFrame([(2, 1, 0), (9, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")}
+    full, empty = str(tmp_path / "full"), str(tmp_path / "empty")
+    for name, df in tables.items():
+        df.write.parquet(f"{full}/{name}.parquet")
+        df.where("false").write.parquet(f"{empty}/{name}.parquet")
+    kept = spark.read.parquet(f"{full}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), full).count() == 0, name
+        kept = corpus_pipeline.settle(lambda stage=stage, kept=kept: stage(spark, kept, full))
+        assert kept.columns == docs.columns, name
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert set(left) == {0, 1, 2, 5, 7, 8, None, 9} and left[2] == line and left[5] == "a\nb c d"
+    out = corpus_pipeline.run(spark, full)
+    lengths = {}
+    for r in out.collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert set(lengths) == set(left) and lengths[0] == lengths[1] == 1 and lengths[8] > 60_000
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_ties_beyond_the_first_candidates(spark):
     """24 scaled copies of one direction have equal scores: the smallest vec_ids come first."""
     rows = [(i, [float(2 ** ((7 * i) % 24)), 0.0, 0.0]) for i in range(24)] + [(100 + i, [0.0, 1.0, float(i)]) for i in range(30)]
