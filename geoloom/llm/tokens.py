@@ -82,7 +82,8 @@ def split_marks(names: pa.Array) -> tuple[pa.Array, pa.Array]:
     is composed and in lower case, stays whole."""
     bare = pc.utf8_rtrim(names, characters=MARKS)
     letters = pc.utf8_is_alpha(bare)
-    wide = np.flatnonzero(pc.and_(letters, pc.invert(pc.string_is_ascii(bare))).to_numpy(zero_copy_only=False))
+    marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(names))
+    wide = np.flatnonzero(pc.and_(pc.and_(letters, marked), pc.invert(pc.string_is_ascii(bare))).to_numpy(zero_copy_only=False))
     if len(wide):
         sure = letters.to_numpy(zero_copy_only=False).copy()
         sure[wide] = [max(n) < "\u0530" and unicodedata.normalize("NFC", n).lower().isalpha() for n in bare.take(pa.array(wide)).to_pylist()]
