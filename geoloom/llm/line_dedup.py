@@ -243,16 +243,12 @@ def _first_pairs(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _other_pairs(classes: DataFrame, gone: DataFrame, threshold: float) -> DataFrame:
-    """(id, other): classes that are not gone with earlier ones, gone or not.  The smaller set of a pair (the earlier of two of
-    one size) needs a shorter prefix than the larger, so open classes are joined twice, as the one and as the other; pairs
-    of two classes that are gone are never met.  Adaptive execution splits the partitions of frequent tokens."""
+    """(id, other): classes that are not gone with earlier ones.  The smaller set of a pair (the earlier of two of one size)
+    needs a shorter prefix than the larger.  Adaptive execution splits the partitions of frequent tokens."""
     marked = classes.join(small(gone).withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull())
     index = f"x_pos <= x_size - {2 * threshold / (1 + threshold)!r}D * x_size + 1e-9D"
-    ordered = f"(x_size < y_size or (x_size = y_size and x_id < y_id)) and {_possible('x', 'y', threshold)}"
-    smaller, larger = _prefixes(marked, "x").where(index), _prefixes(marked, "y")
-    one = smaller.join(larger.where("y_open"), "token").where(f"{ordered} and x_id < y_id")
-    other = smaller.where("x_open").join(larger, "token").where(f"{ordered} and x_id > y_id")
-    both = one.select("x_id", "y_id").unionByName(other.select("x_id", "y_id"))
+    both = _prefixes(marked, "x").where(index).join(_prefixes(marked, "y"), "token")
+    both = both.where(f"case when x_id > y_id then x_open else y_open end and (x_size < y_size or (x_size = y_size and x_id < y_id)) and {_possible('x', 'y', threshold)}")
     return both.select(F.greatest("x_id", "y_id").alias("id"), F.least("x_id", "y_id").alias("other")).distinct()
 
 
