@@ -291,13 +291,24 @@ class ChunkCounts:
         return np.where(np.diff(off) > 0, np.concatenate([sums, [0]])[off[1:] - 1], 0)
 
 
+_TABLES: dict[str, ChunkCounts] = {}
+
+
+def _worker_table(path: str) -> ChunkCounts:
+    """The worker's table for a tokenizer: it outlives a task, so that a worker reads the tokenizer and learns a word once."""
+    if path not in _TABLES:
+        _TABLES.clear()
+        _TABLES[path] = ChunkCounts(path)
+    return _TABLES[path]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) and bytes_in_limit (bytes of the longest start of the text, in whole
     words, that the first `limit` tokens cover; n_bytes if that is all) of every row of docs(doc_id, text)."""
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkCounts(tokenizer)
+        table = _worker_table(tokenizer)
         for batch in batches:
             for part in tx.chunks(batch, "text", TOKEN_BYTES):
                 texts = tx.column(part, "text")
