@@ -89,13 +89,24 @@ class WordIds:
         return out, out_off
 
 
+_TABLES: dict[tuple[str, int], WordIds] = {}
+
+
+def _worker_table(path: str, words: int) -> WordIds:
+    """The worker's table for a tokenizer: it outlives a task, so that a worker reads the tokenizer and learns a word once."""
+    if (path, words) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[path, words] = WordIds(path, words)
+    return _TABLES[path, words]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of docs(doc_id, text).  A worker remembers up
     to `words` words, and looks at `chunk` bytes of text at a time."""
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(tokenizer, words)
+        table = _worker_table(tokenizer, words)
         for batch in batches:
             for part in tx.chunks(batch, "text", chunk):
                 ids, off = table.encode(tx.column(part, "text"), end_id)
