@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import operator
-from ..session import shared_dir
+from ..session import cut
 from .raster import AROUND, neighbours
 
 #: Direction codes: east 0, then clockwise (as seen with rows downwards) to north-east 7.
@@ -19,14 +19,6 @@ DIRECTIONS = {"e": 0, "se": 1, "s": 2, "sw": 3, "w": 4, "nw": 5, "n": 6, "ne": 7
 PIT = 255
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 @operator("flow")
 def d8_direction(cells: DataFrame, size: float = 1.0, filled: bool = False) -> DataFrame:
     """The direction of the steepest fall (diagonals by their length), 255 for pits and flats; ties to the first code.  filled: pits are first
@@ -53,16 +45,16 @@ def downstream(directions: DataFrame) -> DataFrame:
 def flow_accumulation(directions: DataFrame, include_self: bool = False, rounds: int = 64) -> DataFrame:
     """How many cells drain through each cell.  Every cell sends its weight along jumps of 1, 2, 4, ... cells: after round k a cell has
     gathered what lies up to 2^k cells upstream."""
-    edges = _cut(downstream(directions))
-    gathered = _cut(directions.select("r", "c", F.lit(1).cast("long").alias("n")))
+    edges = cut(downstream(directions))
+    gathered = cut(directions.select("r", "c", F.lit(1).cast("long").alias("n")))
     jump = edges
     for _ in range(rounds):
         if jump.isEmpty():
             break
         sent = gathered.join(jump, ["r", "c"]).groupBy(F.col("dr").alias("r"), F.col("dc").alias("c")).agg(F.sum("n").alias("more"))
-        gathered = _cut(gathered.join(sent, ["r", "c"], "left").select("r", "c", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        gathered = cut(gathered.join(sent, ["r", "c"], "left").select("r", "c", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
         far = jump.select(F.col("r").alias("dr"), F.col("c").alias("dc"), F.col("dr").alias("fr"), F.col("dc").alias("fc"))
-        jump = _cut(jump.join(far, ["dr", "dc"]).select("r", "c", F.col("fr").alias("dr"), F.col("fc").alias("dc")))
+        jump = cut(jump.join(far, ["dr", "dc"]).select("r", "c", F.col("fr").alias("dr"), F.col("fc").alias("dc")))
     return gathered.select("r", "c", (F.col("n") - (0 if include_self else 1)).alias("acc"))
 
 
@@ -77,16 +69,16 @@ def strahler(directions: DataFrame, stream_cells: DataFrame, rounds: int = 10_00
     whose tributaries are settled."""
     own = stream_cells.select("r", "c")
     edges = downstream(directions).join(own, ["r", "c"], "left_semi").join(own.select(F.col("r").alias("dr"), F.col("c").alias("dc")), ["dr", "dc"], "left_semi")
-    edges = _cut(edges)
+    edges = cut(edges)
     inflows = edges.groupBy(F.col("dr").alias("r"), F.col("dc").alias("c")).agg(F.count("*").alias("inflows"))
-    state = _cut(own.join(inflows, ["r", "c"], "left").select("r", "c", F.coalesce("inflows", F.lit(0)).alias("inflows"), F.when(F.col("inflows").isNull(), 1).alias("order")))
+    state = cut(own.join(inflows, ["r", "c"], "left").select("r", "c", F.coalesce("inflows", F.lit(0)).alias("inflows"), F.when(F.col("inflows").isNull(), 1).alias("order")))
     for _ in range(rounds):
         done = state.where("order is not null")
         met = done.join(edges, ["r", "c"]).groupBy(F.col("dr").alias("r"), F.col("dc").alias("c")).agg(F.count("*").alias("came"), F.max("order").alias("top"), F.collect_list("order").alias("orders"))
         # at most eight tributaries a cell
         twice = F.size(F.filter("orders", lambda o: o == F.col("top"))) > 1
         new = met.select("r", "c", "came", (F.col("top") + F.when(twice, 1).otherwise(0)).alias("new"))
-        after = _cut(state.join(new, ["r", "c"], "left").select("r", "c", "inflows", F.coalesce("order", F.when(F.col("came") == F.col("inflows"), F.col("new"))).alias("order")))
+        after = cut(state.join(new, ["r", "c"], "left").select("r", "c", "inflows", F.coalesce("order", F.when(F.col("came") == F.col("inflows"), F.col("new"))).alias("order")))
         if after.where("order is null").count() == state.where("order is null").count():
             state = after
             break
@@ -98,10 +90,10 @@ def strahler(directions: DataFrame, stream_cells: DataFrame, rounds: int = 10_00
 def watershed(directions: DataFrame, row: int, col: int) -> DataFrame:
     """The cells that drain through a pour point, itself included: every cell's outlet by pointer jumping, with the pour point as an end."""
     edges = downstream(directions).where(~((F.col("r") == row) & (F.col("c") == col)))
-    ends = _cut(directions.select("r", "c").join(edges, ["r", "c"], "left").select("r", "c", F.coalesce("dr", "r").alias("er"), F.coalesce("dc", "c").alias("ec")))
+    ends = cut(directions.select("r", "c").join(edges, ["r", "c"], "left").select("r", "c", F.coalesce("dr", "r").alias("er"), F.coalesce("dc", "c").alias("ec")))
     while True:
         far = ends.select(F.col("r").alias("er"), F.col("c").alias("ec"), F.col("er").alias("fr"), F.col("ec").alias("fc"))
-        moved = _cut(ends.join(far, ["er", "ec"]).select("r", "c", F.col("fr").alias("er"), F.col("fc").alias("ec")))
+        moved = cut(ends.join(far, ["er", "ec"]).select("r", "c", F.col("fr").alias("er"), F.col("fc").alias("ec")))
         if moved.join(ends, ["r", "c", "er", "ec"], "left_anti").isEmpty():
             return moved.where((F.col("er") == row) & (F.col("ec") == col)).select("r", "c")
         ends = moved
@@ -112,13 +104,13 @@ def cost_distance(cells: DataFrame, row: int, col: int, size: float = 1.0, most:
     """The least cost from a cell to every cell it reaches: steps cost their length times 1 + 5 (a + b) / 200 with the costs (z) at both
     ends.  Rounds relax the cells that improved, until none does."""
     costs = cells.where("z is not null").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z")
-    best = _cut(costs.select("r", "c", "z", F.when((F.col("r") == row) & (F.col("c") == col), 0.0).alias("d")))
+    best = cut(costs.select("r", "c", "z", F.when((F.col("r") == row) & (F.col("c") == col), 0.0).alias("d")))
     front = best.where("d is not null")
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(size * (2**0.5 if a and b else 1.0)).alias("len")) for a, b in AROUND.values()]))
     for _ in range(rounds):
         reach = front.select("r", "c", "z", "d", steps.alias("s")).select((F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("z").alias("z0"), F.col("d").alias("d0"), F.col("s.len").alias("len"))
         offer = reach.join(costs, ["r", "c"]).select("r", "c", (F.col("d0") + F.col("len") * (1.0 + 5.0 * (F.col("z0") + F.col("z")) / 200.0)).alias("o")).where(F.col("o") <= most).groupBy("r", "c").agg(F.min("o").alias("o"))
-        after = _cut(best.join(offer, ["r", "c"], "left").select("r", "c", "z", F.least("d", "o").alias("d"), (F.col("o").isNotNull() & (F.col("d").isNull() | (F.col("o") < F.col("d")))).alias("new")))
+        after = cut(best.join(offer, ["r", "c"], "left").select("r", "c", "z", F.least("d", "o").alias("d"), (F.col("o").isNotNull() & (F.col("d").isNull() | (F.col("o") < F.col("d")))).alias("new")))
         front = after.where("new").select("r", "c", "z", "d")
         best = after.select("r", "c", "z", "d")
         if front.isEmpty():
@@ -165,5 +157,5 @@ def automaton_step(cells: DataFrame, transitions: DataFrame, seed: int, weight:
 @operator("flow")
 def land_use_simulation(cells: DataFrame, transitions: DataFrame, steps: int, seed: int = 42, weight: float = 0.5) -> DataFrame:
     for k in range(steps):
-        cells = _cut(automaton_step(cells, transitions, seed + k, weight))
+        cells = cut(automaton_step(cells, transitions, seed + k, weight))
     return cells

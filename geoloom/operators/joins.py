@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, geometry
 from ..registry import operator
+from ..session import cut
 
 _CELLS = ["__cx", "__cy"]
 
@@ -94,31 +95,41 @@ def within_radius(origins: DataFrame, places: DataFrame, km: float) -> DataFrame
 
 
 @operator("join")
-def knn(queries: DataFrame, points: DataFrame, k: int = 3, cell: float = 4.0) -> DataFrame:
-    """q_id with the k nearest points (p_id) by plane distance, ties to the smaller p_id, and the rank.
+def knn(queries: DataFrame, points: DataFrame, k: int = 3, cell: float = 0.0) -> DataFrame:
+    """q_id with the k nearest points (p_id; all, if fewer) by plane distance in any unit, ties to the smaller p_id, and the rank.
 
     Rounds: candidates from the 3 x 3 cells around a query; a query is settled when its k-th candidate is nearer than the
-    next cells can be; the others go on with cells twice as wide, until the grid is one block."""
-    left, size, done = queries, float(cell), None
-    total = points.count()
+    next cells can be; the others go on with cells four times as wide, until a cell is as wide as all that lies between
+    queries and points, so that the block holds every point.  The first cells (unless given) hold about 2 k points each, by the
+    points' extent.  What a round leaves is written, so no round is computed again."""
+    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count("*")).first()
+    p, q = ends(points, "p_x", "p_y"), ends(queries, "q_x", "q_y")
+    if not p[4] or not q[4] or p[0] is None or q[0] is None:
+        return queries.crossJoin(points.limit(0)).select("q_id", F.lit(0).alias("rank"), "p_id", F.lit(0.0).alias("d"))
+    span = max(max(p[1], q[1]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[2], q[2]), 1e-300)
+    size = float(cell) or max(span * (2.0 * k / p[4]) ** 0.5, span * 2.0**-40)
+    size = span if p[4] <= k + 1 else min(size, span)
+    left, done = queries, None
     while True:
-        p = points.withColumn("__cx", _cell(F.col("p_x"), size)).withColumn("__cy", _cell(F.col("p_y"), size))
-        q = left.withColumn("__cx", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _cell(F.col("q_x"), size) + d)))
-        q = q.withColumn("__cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _cell(F.col("q_y"), size) + d)))
-        met = q.join(p, _CELLS).where("q_id <> p_id").withColumn("d", F.sqrt((F.col("q_x") - F.col("p_x")) * (F.col("q_x") - F.col("p_x")) + (F.col("q_y") - F.col("p_y")) * (F.col("q_y") - F.col("p_y"))))
-        order = Window.partitionBy("q_id").orderBy("d", "p_id")
-        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        last = size >= span
+        near = points.withColumn("__cx", _cell(F.col("p_x"), size)).withColumn("__cy", _cell(F.col("p_y"), size))
+        around = lambda v: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _cell(F.col(v), size) + d))  # noqa: B023, E731
+        asked = left.withColumn("__cx", around("q_x")).withColumn("__cy", around("q_y"))
+        dx, dy = F.col("q_x") - F.col("p_x"), F.col("q_y") - F.col("p_y")
+        met = asked.join(near, _CELLS).where("q_id <> p_id").withColumn("d", F.sqrt(dx * dx + dy * dy))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("d", "p_id"))).where(F.col("rank") <= k)
         # how far the searched block reaches around the query
-        gap = lambda v: F.least(v - _cell(v, size) * size + size, (_cell(v, size) + 2) * size - v)
-        settled = ranked.where(F.col("rank") == k).where(F.col("d") <= F.least(gap(F.col("q_x")), gap(F.col("q_y")))).select("q_id")
-        last = size > 4096 or total <= k
-        rows = ranked if last else ranked.join(settled, "q_id", "left_semi")
-        rows = rows.select("q_id", "rank", "p_id", "d")
+        gap = lambda v: F.least(v - _cell(v, size) * size + size, (_cell(v, size) + 2) * size - v)  # noqa: B023, E731
+        ranked = cut(ranked.select("q_id", "rank", "p_id", "d", ((F.col("rank") == k) & (F.col("d") < F.least(gap(F.col("q_x")), gap(F.col("q_y"))))).alias("__far")))
+        settled = ranked.where("__far").select("q_id")
+        rows = (ranked if last else ranked.join(settled, "q_id", "left_semi")).drop("__far")
         done = rows if done is None else done.unionByName(rows)
-        left = left.join(settled, "q_id", "left_anti")
-        if last or left.isEmpty():
+        if last:
             return done
-        size *= 4
+        left = cut(left.join(settled, "q_id", "left_anti"))
+        if left.isEmpty():
+            return done
+        size = min(size * 4, span)
 
 
 @operator("join")

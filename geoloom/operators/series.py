@@ -52,22 +52,57 @@ def kendall(v: np.ndarray) -> tuple[float, float, int]:
     return s / (n * (n - 1) / 2), _p_value(s, _variance(v)), s
 
 
-def sen(v: np.ndarray) -> float:
-    """The upper median of the slopes of all pairs."""
+def _slopes(v: np.ndarray, block: int = 1 << 20):
+    """The slopes of all pairs, some at a time."""
+    n, held, size = len(v), [], 0
+    for k in range(1, n):
+        held.append((v[k:] - v[:-k]) / k)
+        size += n - k
+        if size >= block or k == n - 1:
+            yield np.concatenate(held)
+            held, size = [], 0
+
+
+def sen(v: np.ndarray, most: int = 1 << 20) -> float:
+    """The upper median of the slopes of all pairs, exactly: they are counted in steps between bounds until at most `most` are left
+    between the bounds, so memory does not grow with the number of pairs."""
     n = len(v)
     if n < 2:
         return 0.0
-    slopes = np.concatenate([(v[k:] - v[:-k]) / k for k in range(1, n)])
-    return float(np.partition(slopes, len(slopes) // 2)[len(slopes) // 2])
+    at = n * (n - 1) // 2 // 2
+    if n * (n - 1) // 2 <= most:
+        slopes = np.concatenate(list(_slopes(v)))
+        return float(np.partition(slopes, at)[at])
+    low, high = min(s.min() for s in _slopes(v)), max(s.max() for s in _slopes(v))
+    steps = 1 << 16
+    while True:
+        edges = np.linspace(low, high, steps + 1)
+        below, counts = 0, np.zeros(steps, np.int64)
+        for s in _slopes(v):
+            below += int((s < low).sum())
+            s = s[(s >= low) & (s <= high)]
+            counts += np.bincount(np.clip(np.searchsorted(edges, s, "right") - 1, 0, steps - 1), minlength=steps)
+        step = int(np.searchsorted(np.cumsum(counts), at - below, "right"))
+        new_low, new_high = edges[step], edges[step + 1]
+        if counts[step] <= most or (new_low, new_high) == (low, high) or new_low == new_high:
+            break
+        low, high = new_low, new_high
+    below, held = 0, []
+    for s in _slopes(v):
+        below += int((s < new_low).sum())
+        held.append(s[(s >= new_low) & (s <= new_high)])
+    rest = np.concatenate(held)
+    return float(np.partition(rest, at - below)[at - below])
 
 
 def pettitt(v: np.ndarray) -> tuple[int, float, float]:
-    """(first place of the largest |U|, |U|, p)."""
+    """(first place of the largest |U|, |U|, p); U_t is a running sum of twice the mean ranks."""
     n = len(v)
     if n < 3:
         return 0, 0.0, 1.0
-    rank_sum = np.array([np.sign(v - x).sum() for x in v])  # U_t - U_{t-1}
-    u = np.abs(np.cumsum(rank_sum)[: n - 1])
+    ordered = np.sort(v)
+    twice_rank = np.searchsorted(ordered, v, "left") + np.searchsorted(ordered, v, "right") + 1
+    u = np.abs(np.cumsum(twice_rank - (n + 1))[: n - 1]).astype(float)
     at = int(u.argmax())
     return (at + 1 if u[at] > 0 else 0), float(u[at]), min(1.0, 2 * exp(-6 * u[at] ** 2 / (n**3 + n**2)))
 
@@ -280,17 +315,23 @@ def _sorted(series: DataFrame, *cols: str) -> DataFrame:
     return series.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("xs"))
 
 
-def _fold(series: DataFrame, start: Column, step, names: list[str], cols: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Rows (sid, t, names...) of a recursion: step(state, x, i) gives the next state, a struct with those names."""
+def _fold(series: DataFrame, start: Column, step, names: list[str], cols: tuple[str, ...] = ("v",), run: int = 256) -> DataFrame:
+    """Rows (sid, t, names...) of a recursion: step(state, x, i) gives the next state, a struct with those names.  The values are
+    folded in runs that carry the state on, so that no long array grows value by value."""
     kind = "array<struct<t:int," + ",".join(f"{n}:double" for n in names) + ">>"
-    state = F.struct(start.alias("s"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
+
+    def inner(acc: Column, first: Column) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            new = step(a["s"], x, first - 1 + F.size(a["out"]))
+            row = F.struct(x["t"].cast("int").alias("t"), *[new[n].alias(n) for n in names])
+            return F.struct(new.alias("s"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        new = step(acc["s"], x, F.size(acc["out"]))
-        row = F.struct(x["t"].cast("int").alias("t"), *[new[n].alias(n) for n in names])
-        return F.struct(new.alias("s"), F.concat(acc["out"], F.array(row)).alias("out"))
+        done = F.aggregate(F.slice("xs", first, run), F.struct(acc["s"].alias("s"), none.alias("out")), add)
+        return F.transform(F.array(done), lambda d: F.struct(d["s"].alias("s"), F.concat(acc["out"], d["out"]).alias("out")))[0]
 
-    folded = F.aggregate("xs", state, add, lambda acc: acc["out"])
+    firsts = F.sequence(F.lit(1), F.greatest(F.size("xs"), F.lit(1)), F.lit(run))
+    folded = F.aggregate(firsts, F.struct(start.alias("s"), none.alias("out")), inner, lambda acc: acc["out"])
     return _sorted(series, *cols).select("sid", F.explode(folded).alias("o")).select("sid", "o.*")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.base import normal_cdf
 from ..registry import operator
+from ..session import cut
 
 ROOK = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 QUEEN = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -79,24 +83,35 @@ def predict(x: Column, slope: Column, intercept: Column) -> Column:
     return intercept + slope * x
 
 
+def ranked(values: DataFrame) -> DataFrame:
+    """v, times and place: each distinct value (v) with how often it comes, and the place of its first one among the sorted values,
+    from 0.  Equal values are counted first, and ranges of values are sorted apart, in a table that is written once."""
+    counted = values.where("v is not null").groupBy("v").agg(F.count("*").alias("times"))
+    dealt = cut(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.sum("times").alias("s"))  # a row for each range
+    before = F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("times").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(F.broadcast(parts), "part").select("v", "times", (F.col("before") + F.coalesce(inside, F.lit(0))).alias("place"))
+
+
 @operator("stats")
 def quantile_breaks(values: DataFrame, k: int = 5) -> DataFrame:
-    """The k - 1 values at places round(i n / k) of the sorted values (v); no rows for fewer than k values.  Values are counted first, so
-    equal ones are one row, and places are found in range partitions: nothing is sorted in one task."""
-    counted = values.where("v is not null").groupBy("v").agg(F.count("*").alias("times"))
-    n = counted.agg(F.sum("times")).first()[0] or 0
+    """The k - 1 values at places round(i n / k) of the sorted values (v); no rows for fewer than k values.  Nothing is sorted in one task."""
+    n = values.where("v is not null").count()
     if n < k or k < 2:
         return values.sparkSession.createDataFrame([], "i int, value double")
-    dealt = counted.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    sums = {r["part"]: r["s"] for r in dealt.groupBy("part").agg(F.sum("times").alias("s")).collect()}  # a row for each partition
-    base, before = [], 0
-    for part in sorted(sums):
-        base.append((part, before))
-        before += sums[part]
-    places = values.sparkSession.createDataFrame([(i, min(int(i * n / k + 0.5), n - 1)) for i in range(1, k)], "i int, place long")
-    order = Window.partitionBy("part").orderBy("v")
-    ranked = dealt.join(F.broadcast(values.sparkSession.createDataFrame(base, "part int, before long")), "part").withColumn("end", F.col("before") + F.sum("times").over(order))
-    return ranked.join(F.broadcast(places), (F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("times"))).select("i", F.col("v").cast("double").alias("value"))
+    places = values.sparkSession.createDataFrame([(i, min(int(i * n / k + 0.5), n - 1)) for i in range(1, k)], "i int, at long")
+    met = ranked(values).join(F.broadcast(places), (F.col("at") >= F.col("place")) & (F.col("at") < F.col("place") + F.col("times")))
+    return met.select("i", F.col("v").cast("double").alias("value"))
+
+
+@operator("stats")
+def darkest_mean(values: DataFrame, share: float = 0.01) -> DataFrame:
+    """haze: the mean of the lowest share of the values (v), rounded down to whole values; null for none."""
+    want = int(values.where("v is not null").count() * share)
+    took = F.least(F.col("times"), F.lit(want) - F.col("place"))
+    return ranked(values).where(F.col("place") < want).agg((F.sum(F.col("v") * took) / F.sum(took)).alias("haze"))
 
 
 @operator("stats")
@@ -107,40 +122,56 @@ def equal_interval_breaks(values: DataFrame, k: int = 5) -> DataFrame:
     return ends.withColumn("i", i).select("i", (F.col("a") + F.col("i") * (F.col("b") - F.col("a")) / float(k)).alias("value"))
 
 
-@operator("stats")
-def jenks_breaks(values: DataFrame, k: int = 5, bins: int = 4096) -> DataFrame:
-    """Natural breaks: the k classes of the sorted values with the least squared deviations, and the goodness of fit.  Values are
-    counted first; with more than `bins` distinct ones they are gathered into equal steps, so the dynamic programme is bounded."""
-    import numpy as np
+def _next_class(best: np.ndarray, cost: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least best[i] + cost(i, j) over i < j, and the first such i.  As that i never falls when j grows, all
+    middles of a level are searched at once between the places of their neighbours."""
+    m = len(best) - 1
+    new, cut_at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+    todo = np.array([[1, m, 0, m - 1]]) if m else np.empty((0, 4), int)
+    while len(todo):
+        low, high, first, last = todo.T
+        mid = (low + high) // 2
+        last_here = np.minimum(last, mid - 1)
+        size = last_here - first + 1
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        i = np.repeat(first - start, size) + np.arange(int(size.sum()))
+        total = best[i] + cost(i, np.repeat(mid, size))
+        least = np.minimum.reduceat(total, start)
+        hit = np.flatnonzero(total == np.repeat(least, size))
+        at = i[hit[np.searchsorted(hit, start)]]
+        new[mid], cut_at[mid] = least, at
+        halves = np.concatenate([np.stack([low, mid - 1, first, at], 1), np.stack([mid + 1, high, at, last], 1)])
+        todo = halves[halves[:, 0] <= halves[:, 1]]
+    return new, cut_at
 
-    rows = values.where("v is not null")
-    a, b, distinct = rows.agg(F.min("v"), F.max("v"), F.count_distinct("v")).first()
-    if distinct > bins:
-        step = (b - a) / bins
-        rows = rows.withColumn("g", F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / step)))
-    else:
-        rows = rows.withColumn("g", F.col("v"))
-    got = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.max("v").alias("top")).orderBy("g").toPandas()
+
+@operator("stats")
+def jenks_breaks(values: DataFrame, k: int = 5, bins: int = 0) -> DataFrame:
+    """Natural breaks: the k classes of the sorted values with the least squared deviations, and the goodness of fit.  Exact, over all
+    distinct values, which are counted first and of which the driver holds four numbers each; with `bins` over that many equal steps instead."""
+    rows = values.where("v is not null").withColumn("g", F.col("v"))
+    if bins:
+        a, b = rows.agg(F.min("v"), F.max("v")).first()
+        step = (b - a) / bins if a is not None and b > a else 1.0
+        rows = rows.withColumn("g", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(a)) / step)))
+    got = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.max("v").alias("top")).toPandas().sort_values("g")
     n, s, q, top = (np.concatenate([[0.0], np.cumsum(got[c])]) if c != "top" else got[c].to_numpy() for c in ("n", "s", "q", "top"))
     m = len(top)
+    if not m:
+        return values.sparkSession.createDataFrame([], "i int, value double, gvf double")
     k = min(k, m)
     cost = lambda i, j: (q[j] - q[i]) - (s[j] - s[i]) ** 2 / np.maximum(n[j] - n[i], 1)
     best = cost(np.zeros(m + 1, int), np.arange(m + 1))
     back = []
     for _ in range(1, k):
-        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        for j in range(1, m + 1):
-            i = np.arange(j)
-            total = best[:j] + cost(i, j)
-            cut[j] = total.argmin()
-            new[j] = total[cut[j]]
-        back.append(cut)
-        best = new
+        best, cut_at = _next_class(best, cost)
+        back.append(cut_at)
     ends, j = [], m
-    for cut in reversed(back):
-        j = cut[j]
+    for cut_at in reversed(back):
+        j = int(cut_at[j])
         ends.append(j)
-    fit = 1.0 - best[m] / cost(0, m) if cost(0, m) > 0 else 1.0
+    whole = cost(0, m)
+    fit = 1.0 - best[m] / whole if whole > 0 else 1.0
     breaks = [float(top[e - 1]) for e in reversed(ends) if e > 0]
     return values.sparkSession.createDataFrame([(i + 1, v, float(fit)) for i, v in enumerate(breaks)], "i int, value double, gvf double")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hazard, land, water
 from ..functions.base import c, rounded
+from ..operators import stats
 from . import fixtures as fx
 from .catalog import query, r
 
@@ -327,13 +328,8 @@ def bathtub(spark, d):
 
 @query("dark_object", f"SELECT {r('AVG(red)')} AS haze FROM (SELECT red, ROW_NUMBER() OVER (ORDER BY red) AS k, COUNT(*) OVER () AS n FROM g_raster WHERE red IS NOT NULL) WHERE k <= FLOOR(n * 0.01)", ("g_raster",))
 def dark_object(spark, d):
-    """The mean of the darkest hundredth: values are counted first, so that the window is over distinct values."""
-    n = fx.raster(spark, d).where("red is not null").groupBy("red").agg(F.count("*").alias("k"))
-    total = n.agg(F.sum("k")).first()[0]
-    want = int(total * 0.01)
-    w = Window.orderBy("red").rowsBetween(Window.unboundedPreceding, 0)
-    took = n.withColumn("before", F.sum("k").over(w) - F.col("k")).where(F.col("before") < want).withColumn("m", F.least(F.col("k"), F.lit(want) - F.col("before")))
-    return took.agg(rounded(F.sum(F.col("red") * F.col("m")) / F.sum("m")).alias("haze"))
+    """The mean of the darkest hundredth."""
+    return stats.darkest_mean(fx.raster(spark, d).select(F.col("red").alias("v")), 0.01).select(rounded(F.col("haze")).alias("haze"))
 
 
 @query("coherence", f"SELECT r, c, {r('SUM(red * nir) OVER w / SQRT(SUM(red * red) OVER w * SUM(nir * nir) OVER w)')} AS v FROM (SELECT r, c, COALESCE(red, 0.1) AS red, COALESCE(nir, 0.1) AS nir FROM g_raster) WINDOW w AS (PARTITION BY r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", ("g_raster",))

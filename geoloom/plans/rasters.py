@@ -113,29 +113,42 @@ def mosaic_feather(spark, d):
     return out.select("r", "c", rounded(F.col("z")).alias("z"))
 
 
-def _square(spark, d):
-    return fx.raster(spark, d).where("r < 5").select("r", "c", "z")
+def _resampled(spark, d, method, shift=0.0):
+    """The raster on cells half as high and twice as wide."""
+    cells = fx.raster(spark, d).select("r", "c", "z")
+    rows = (cells.agg(F.max("r")).first()[0] or 0) + 1
+    out = raster.resample(cells, rows, 40, 2 * rows, 20, method)
+    return out.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), rounded(F.col("z") + shift).alias("z"))
 
 
-NR = "g10 AS (SELECT y.v AS r, x.v AS c FROM (SELECT UNNEST(GENERATE_SERIES(0, 9)) AS v) y, (SELECT UNNEST(GENERATE_SERIES(0, 19)) AS v) x)"
+NR = "h AS (SELECT MAX(r) AS top FROM g_raster), g10 AS (SELECT y.v AS r, x.v AS c FROM (SELECT UNNEST(GENERATE_SERIES(0, (SELECT 2 * top + 1 FROM h))) AS v) y, (SELECT UNNEST(GENERATE_SERIES(0, 19)) AS v) x)"
 
 
 @query("resample_nearest", f"SELECT CAST(t.r AS BIGINT) AS r, CAST(t.c AS BIGINT) AS c, {r('s.z')} AS z FROM g10 t JOIN g_raster s ON s.r = FLOOR((t.r + 0.5) * 0.5) AND s.c = FLOOR((t.c + 0.5) * 2.0)", ("g_raster",), NR)
 def resample_nearest(spark, d):
-    return raster.resample(_square(spark, d), 5, 40, 10, 20, "nearest").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), rounded(F.col("z")).alias("z"))
+    return _resampled(spark, d, "nearest")
 
 
-BI = f"{NR}, spot AS (SELECT r, c, GREATEST(0.0, LEAST(4.0, (r + 0.5) * 0.5 - 0.5)) AS y, GREATEST(0.0, LEAST(39.0, (c + 0.5) * 2.0 - 0.5)) AS x FROM g10)"
+BI = f"{NR}, spot AS (SELECT r, c, GREATEST(0.0, LEAST((SELECT top FROM h)::DOUBLE, (r + 0.5) * 0.5 - 0.5)) AS y, GREATEST(0.0, LEAST(39.0, (c + 0.5) * 2.0 - 0.5)) AS x FROM g10)"
 
 
-@query("resample_bilinear", f"SELECT CAST(t.r AS BIGINT) AS r, CAST(t.c AS BIGINT) AS c, {r('(a.z * (1 - (x - FLOOR(x))) + b.z * (x - FLOOR(x))) * (1 - (y - FLOOR(y))) + (e.z * (1 - (x - FLOOR(x))) + f.z * (x - FLOOR(x))) * (y - FLOOR(y))')} AS z FROM spot t JOIN g_raster a ON a.r = FLOOR(y) AND a.c = FLOOR(x) JOIN g_raster b ON b.r = FLOOR(y) AND b.c = LEAST(39, FLOOR(x) + 1) JOIN g_raster e ON e.r = LEAST(4, FLOOR(y) + 1) AND e.c = FLOOR(x) JOIN g_raster f ON f.r = LEAST(4, FLOOR(y) + 1) AND f.c = LEAST(39, FLOOR(x) + 1)", ("g_raster",), BI)
+@query("resample_bilinear", f"SELECT CAST(t.r AS BIGINT) AS r, CAST(t.c AS BIGINT) AS c, {r('(a.z * (1 - (x - FLOOR(x))) + b.z * (x - FLOOR(x))) * (1 - (y - FLOOR(y))) + (e.z * (1 - (x - FLOOR(x))) + f.z * (x - FLOOR(x))) * (y - FLOOR(y))')} AS z FROM spot t, h JOIN g_raster a ON a.r = FLOOR(y) AND a.c = FLOOR(x) JOIN g_raster b ON b.r = FLOOR(y) AND b.c = LEAST(39, FLOOR(x) + 1) JOIN g_raster e ON e.r = LEAST(top, FLOOR(y) + 1) AND e.c = FLOOR(x) JOIN g_raster f ON f.r = LEAST(top, FLOOR(y) + 1) AND f.c = LEAST(39, FLOOR(x) + 1)", ("g_raster",), BI)
 def resample_bilinear(spark, d):
-    return raster.resample(_square(spark, d), 5, 40, 10, 20, "bilinear").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), rounded(F.col("z")).alias("z"))
+    return _resampled(spark, d, "bilinear")
 
 
-@query("resample_cubic")
+CUBIC = "CASE WHEN ABS({0}) <= 1 THEN 1.5 * POW(ABS({0}), 3) - 2.5 * POW(ABS({0}), 2) + 1 WHEN ABS({0}) < 2 THEN -0.5 * POW(ABS({0}), 3) + 2.5 * POW(ABS({0}), 2) - 4 * ABS({0}) + 2 ELSE 0 END".format
+
+
+@query(
+    "resample_cubic",
+    f"""SELECT CAST(t.r AS BIGINT) AS r, CAST(t.c AS BIGINT) AS c, {r(f"SUM(s.z * ({CUBIC('(y - FLOOR(y) - i.v)')}) * ({CUBIC('(x - FLOOR(x) - j.v)')})) + 1e-9")} AS z FROM spot t, h, (SELECT UNNEST(GENERATE_SERIES(-1, 2)) AS v) i, (SELECT UNNEST(GENERATE_SERIES(-1, 2)) AS v) j, g_raster s
+ WHERE s.r = GREATEST(0, LEAST(top, FLOOR(y) + i.v)) AND s.c = GREATEST(0, LEAST(39, FLOOR(x) + j.v)) GROUP BY t.r, t.c""",
+    ("g_raster",),
+    BI,
+)
 def resample_cubic(spark, d):
-    return raster.resample(_square(spark, d), 5, 40, 10, 20, "cubic").select("r", "c", rounded(F.col("z")).alias("z"))
+    return _resampled(spark, d, "cubic", 1e-9)  # sums that end in a 5 are rounded up, whatever the order of summing
 
 
 @query("null_sentinels", "SELECT COUNT(*) AS cells, COUNT(red) AS valid FROM g_raster", ("g_raster",))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins from measured sizes, splits skewed partitions and merges small ones.
 SETTINGS = {
@@ -34,3 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the cluster shares: what lies before is not computed again."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

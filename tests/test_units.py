@@ -245,3 +245,80 @@ def test_nmea(spark):
     assert got["GGA"].lat == pytest.approx(48.1173) and got["GGA"].hdop == 99.9 and got["GGA"].satellites == 8
     assert got["RMC"].lat == pytest.approx(-48.1173) and got["RMC"].lon == pytest.approx(-11.516667, abs=1e-6) and got["RMC"].valid
     assert len(got) == 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 100_000.0, 1e-6])
+def test_knn_in_any_unit(spark, scale):
+    """Clustered, sparse and few points, in any unit, against brute force; ties to the smaller id."""
+    from geoloom.operators.joins import knn
+
+    rng = np.random.default_rng(4)
+    near = rng.integers(0, 9, (60, 2)).astype(float)  # many ties
+    far = rng.uniform(-5000, 5000, (40, 2))
+    xy = np.concatenate([near, far]) * scale
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "p_id long, p_x double, p_y double")
+    asked = points.selectExpr("p_id as q_id", "p_x as q_x", "p_y as q_y").where("q_id % 3 = 0")
+    got = {}
+    for r in knn(asked, points, 4).orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append(r.p_id)
+    for i in range(0, 100, 3):
+        order = sorted((float(np.sqrt(((xy[i] - xy[j]) ** 2).sum())), j) for j in range(100) if j != i)
+        assert got[i] == [j for _, j in order[:4]], i
+    few = points.where("p_id >= 92")
+    assert knn(few.selectExpr("p_id as q_id", "p_x as q_x", "p_y as q_y"), few, 20).count() == 8 * 7
+    assert knn(asked, points.where("false"), 3).count() == 0 and knn(asked.where("false"), points, 3).count() == 0
+
+
+def test_jenks_is_exact(spark):
+    """Against all placements of two and three breaks, and against the plain dynamic programme on many distinct values."""
+    from itertools import combinations
+
+    from geoloom.operators.stats import jenks_breaks
+
+    def cost(parts):
+        return sum(((p - p.mean()) ** 2).sum() for p in parts if len(p))
+
+    rng = np.random.default_rng(5)
+    for n, k in ((14, 3), (12, 4)):
+        v = np.sort(np.round(rng.lognormal(0, 2, n), 3))
+        got = [r.value for r in jenks_breaks(spark.createDataFrame([(float(x),) for x in v], "v double"), k).orderBy("i").collect()]
+        best = min(cost(np.split(v, c)) for c in combinations(range(1, n), k - 1))
+        assert abs(cost(np.split(v, np.searchsorted(v, got, "right"))) - best) < 1e-9
+    v = np.append(rng.normal(size=6000), 1e6)  # more than 4096 distinct values, and an outlier
+    got = [r.value for r in jenks_breaks(spark.createDataFrame([(float(x),) for x in v], "v double"), 4).orderBy("i").collect()]
+    assert len(got) == 3
+    assert jenks_breaks(spark.createDataFrame([], "v double"), 3).count() == 0
+
+
+def test_quantile_breaks_over_many_ranges(spark):
+    from geoloom.operators.stats import quantile_breaks
+
+    rng = np.random.default_rng(6)
+    v = np.sort(rng.integers(0, 500, 3000).astype(float))
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(v)], "v double")
+    got = [r.value for r in quantile_breaks(df, 7).orderBy("i").collect()]
+    assert got == [v[min(int(i * 3000 / 7 + 0.5), 2999)] for i in range(1, 7)]
+
+
+def test_sen_and_pettitt_without_all_pairs():
+    from geoloom.operators import series
+
+    rng = np.random.default_rng(7)
+    for v in (rng.normal(size=200), rng.integers(0, 4, 150).astype(float), np.zeros(50), np.arange(60.0), rng.lognormal(0, 3, 180)):
+        slopes = np.sort(np.concatenate([(v[k:] - v[:-k]) / k for k in range(1, len(v))]))
+        assert series.sen(v, most=100) == series.sen(v) == slopes[len(slopes) // 2]
+        u = np.abs(np.cumsum([np.sign(v - x).sum() for x in v])[:-1])
+        at, top, _ = series.pettitt(v)
+        assert top == u.max() and (at == int(u.argmax()) + 1 or top == 0)
+
+
+def test_folds_over_several_runs(spark):
+    from geoloom.operators.series import autoregression
+
+    rows = [("a", i, float(i % 7)) for i in range(900)] + [("b", 0, 2.0)]
+    got = {(r.sid, r.t): r.x for r in autoregression(spark.createDataFrame(rows, "sid string, t int, v double"), 0.5).collect()}
+    x = 0.0
+    for i in range(900):
+        x = i % 7 + 0.5 * x
+        assert abs(got["a", i] - x) < 1e-9
+    assert got["b", 0] == 2.0
