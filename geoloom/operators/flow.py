@@ -7,7 +7,7 @@ from their lineage by checkpoints between rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import operator
@@ -119,17 +119,20 @@ def cost_distance(cells: DataFrame, row: int, col: int, size: float = 1.0, most:
 
 
 @operator("flow")
-def inundation_level(cells: DataFrame, volume: float, cell_area: float, rounds: int = 40) -> DataFrame:
-    """The level up to which a volume of water fills the raster, by bisection: a round is one sum."""
-    low, high = cells.agg(F.min("z"), F.max("z")).first()
-    a, b = low, high + 10.0
-    for _ in range(rounds):
-        mid = (a + b) / 2
-        held = cells.agg(F.sum(F.greatest(F.lit(0.0), F.lit(mid) - F.col("z")))).first()[0] * cell_area
-        a, b = (mid, b) if held < volume else (a, mid)
-    level = (a + b) / 2
-    wet = F.col("z") < level
-    return cells.agg(F.lit(level).alias("level"), F.sum(F.when(wet, 1).otherwise(0)).alias("cells"), (F.sum(F.greatest(F.lit(0.0), F.lit(level) - F.col("z"))) * cell_area).alias("volume"))
+def inundation_level(cells: DataFrame, volume: float, cell_area: float) -> DataFrame:
+    """The level up to which a volume of water fills the raster (10 above its highest cell at most), its cells and the volume held.
+    It is the least of (volume + sum of the k lowest cells) / k over all k, from sums over ranges of heights that are sorted apart."""
+    heights = cells.where("z is not null").groupBy(F.col("z").alias("v")).agg(F.count("*").alias("times"))
+    dealt = cut(heights.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.sum("times").alias("n"), F.sum(F.col("v") * F.col("times")).alias("s"))  # a row for each range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k, s = F.col("n0") + F.sum("times").over(inside), F.col("s0") + F.sum(F.col("v") * F.col("times")).over(inside)
+    levels = dealt.join(F.broadcast(parts), "part").select("v", ((F.lit(volume / cell_area) + s) / k).alias("level"))
+    level = levels.agg(F.least(F.min("level"), F.max("v") + 10.0)).first()[0]
+    held = F.sum(F.greatest(F.lit(0.0), F.lit(level) - F.col("z"))) * cell_area
+    return cells.agg(F.lit(level).alias("level"), F.sum(F.when(F.col("z") < level, 1).otherwise(0)).alias("cells"), held.alias("volume"))
 
 
 @operator("flow")

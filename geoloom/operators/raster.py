@@ -245,3 +245,17 @@ def zonal_box(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
     stats = met.groupBy("box_id").agg(F.count("*").alias("n"), F.avg("z").alias("mean"), F.min("z").alias("low"), F.max("z").alias("high"), F.sum("z").alias("total"), share(F.col("z") >= 0.5).alias("healthy"), share(F.col("z") <= 0.2).alias("degraded"))
     return boxes.select("box_id").join(stats, "box_id", "left").na.fill(0)
+
+
+@operator("raster")
+def coherence(cells: DataFrame, cols: int, half: int = 2) -> DataFrame:
+    """r, c, coherence of two images (master, slave) over windows of 2 half + 1 cells in line order; null where a window is dark.
+    Each cell is dealt to the windows it lies in, so there is one aggregation and no long window."""
+    place = F.col("r").cast("long") * cols + F.col("c")
+    offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    dealt = cells.select(place.alias("at"), "r", "c", "master", "slave", offsets.alias("o")).withColumn("to", F.col("at") + F.col("o"))
+    m, s = F.col("master"), F.col("slave")
+    own = F.col("o") == 0
+    sums = dealt.groupBy("to").agg(F.max(F.when(own, F.col("r"))).alias("r"), F.max(F.when(own, F.col("c"))).alias("c"), F.sum(m * s).alias("ms"), F.sum(m * m).alias("mm"), F.sum(s * s).alias("ss"))
+    energy = F.sqrt(F.col("mm") * F.col("ss"))
+    return sums.where("r is not null").select("r", "c", F.when(energy > 0, F.col("ms") / energy).alias("coherence"))

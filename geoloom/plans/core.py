@@ -86,7 +86,20 @@ def great_circle_azimuth(spark, d):
     return a.join(b, "a_id").select("a_id", rounded(crs.azimuth(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"))).alias("bearing"))
 
 
-@query("vincenty_inverse")
+FL = "(1 / 298.257223563)"
+SIN_S = "SQRT(POW(COS(u2) * SIN(lam), 2) + POW(COS(u1) * SIN(u2) - SIN(u1) * COS(u2) * COS(lam), 2))"
+COS_S = "(SIN(u1) * SIN(u2) + COS(u1) * COS(u2) * COS(lam))"
+VIN = f"""pr AS (SELECT a.id AS a_id, RADIANS(b.lon - a.lon) AS l, ATAN((1 - {FL}) * TAN(RADIANS(a.lat))) AS u1, ATAN((1 - {FL}) * TAN(RADIANS(b.lat))) AS u2 FROM g_points a JOIN g_points b ON b.id = a.id + 1),
+it(i, a_id, l, u1, u2, lam, moved) AS (SELECT 0, a_id, l, u1, u2, l, 1e9 FROM pr UNION ALL SELECT i + 1, a_id, l, u1, u2, CASE WHEN moved < 1e-12 THEN lam ELSE nl END, CASE WHEN moved < 1e-12 THEN moved ELSE ABS(nl - lam) END FROM (
+ SELECT *, l + (1 - k) * {FL} * sa * (sg + k * ss * (cm + k * cs * (2 * cm * cm - 1))) AS nl FROM (SELECT *, {FL} / 16 * c2 * (4 + {FL} * (4 - 3 * c2)) AS k, CASE WHEN c2 = 0 THEN 0 ELSE cs - 2 * SIN(u1) * SIN(u2) / c2 END AS cm FROM (SELECT *, 1 - sa * sa AS c2, ATAN2(ss, cs) AS sg FROM (
+ SELECT *, CASE WHEN ss = 0 THEN 0 ELSE COS(u1) * COS(u2) * SIN(lam) / ss END AS sa FROM (SELECT *, {SIN_S} AS ss, {COS_S} AS cs FROM it WHERE i < 60))))))"""
+# the length from the angles of the last round, with the series in u^2
+VLEN = f"""SELECT a_id, CASE WHEN moved < 1e-9 THEN {r('b * ca * (sg - cb * ss * (cm + cb / 4 * (cs * (2 * cm * cm - 1) - cb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))', 3)} END AS metres FROM (
+ SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS ca, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS cb FROM (SELECT *, c2 * (6378137.0 * 6378137.0 - b * b) / (b * b) AS q, CASE WHEN c2 = 0 THEN 0 ELSE cs - 2 * SIN(u1) * SIN(u2) / c2 END AS cm FROM (
+ SELECT *, 6378137.0 * (1 - {FL}) AS b, 1 - POW(CASE WHEN ss = 0 THEN 0 ELSE COS(u1) * COS(u2) * SIN(lam) / ss END, 2) AS c2, ATAN2(ss, cs) AS sg FROM (SELECT *, {SIN_S} AS ss, {COS_S} AS cs FROM it WHERE i = 60))))"""
+
+
+@query("vincenty_inverse", VLEN, ("g_points",), VIN)
 def vincenty_inverse(spark, d):
     a = fx.points(spark, d).select(F.col("id").alias("a_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     b = fx.points(spark, d).select((F.col("id") - 1).alias("a_id"), "lon", "lat")
@@ -134,7 +147,14 @@ def geocentric_helmert(spark, d):
     return fx.points(spark, d).select("id", rounded(x, 3).alias("x"), rounded(y, 3).alias("y"), rounded(z, 3).alias("z"))
 
 
-@query("molodensky_shift")
+F1, F2 = "(1 / 298.3)", "(1 / 298.257223563)"
+ECC = f"({F1} * (2 - {F1}))"
+MOLO = f"""mo AS (SELECT id, lon, lat, SIN(RADIANS(lat)) AS s, COS(RADIANS(lat)) AS k, SIN(RADIANS(lon)) AS sl, COS(RADIANS(lon)) AS cl, 6378245.0 / SQRT(1 - {ECC} * POW(SIN(RADIANS(lat)), 2)) AS n,
+ 6378245.0 * (1 - {ECC}) / POW(1 - {ECC} * POW(SIN(RADIANS(lat)), 2), 1.5) AS m FROM g_points)"""
+D_LAT = f"(-15.8 * s * cl + 154.4 * s * sl - 82.3 * k - 108.0 * n * {ECC} * s * k / 6378245.0 + ({F2} - {F1}) * (m / (1 - {F1}) + n * (1 - {F1})) * s * k) / (m + 100)"
+
+
+@query("molodensky_shift", f"SELECT id, {r('lon + DEGREES((-15.8 * sl - 154.4 * cl) / ((n + 100) * k))', 8)} AS lon, {r(f'lat + DEGREES({D_LAT})', 8)} AS lat, {r(f'100 + 15.8 * k * cl - 154.4 * k * sl - 82.3 * s + 108.0 * 6378245.0 / n + ({F2} - {F1}) * (1 - {F1}) * n * s * s', 4)} AS h FROM mo", ("g_points",), MOLO)
 def molodensky_shift(spark, d):
     lon, lat, h = crs.molodensky(F.col("lon"), F.col("lat"), F.lit(100.0), (15.8, -154.4, -82.3), "beijing54", "wgs84")
     return fx.points(spark, d).select("id", rounded(lon, 8).alias("lon"), rounded(lat, 8).alias("lat"), rounded(h, 4).alias("h"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hazard, land, water
 from ..functions.base import c, rounded
-from ..operators import stats
+from ..operators import raster, stats
 from . import fixtures as fx
 from .catalog import query, r
 
@@ -177,6 +177,9 @@ formulas("geothermal", "Reservoir temperature and power.", {
     "reservoir": (lambda: land.reservoir_temperature(c(15.0), col("cn") * 2.0), TR),
     "power_mw": (lambda: land.geothermal_mw(col("cn") * 2.0, col("area"), c(15.0)), f"cn * 2e-3 * area * (1 - 288.15 / ({TR} + 273.15)) * 0.12"),
 })
+DECL = "(0.4093 * SIN(2 * PI() * 167.4 / 365 - 1.39))"  # the sun in June
+SUNSET = f"ACOS(GREATEST(-1.0, LEAST(1.0, -TAN(0.6) * TAN({DECL}))))"
+RA = f"(0.0820 * (1 + 0.033 * COS(2 * PI() * 167.4 / 365)) * ({SUNSET} * SIN(0.6) * SIN({DECL}) + COS(0.6) * COS({DECL}) * SIN({SUNSET})) * 11.574)"
 LAI = "(CASE WHEN ndvi > 0 AND ndvi < 1 THEN -LN(1 - ndvi) / 0.5 ELSE 0 END)"
 formulas("crops", "Leaf area, absorbed light, irrigation, soils.", {
     "lai": (lambda: land.leaf_area(col("ndvi"), c(0.5)), LAI),
@@ -185,7 +188,7 @@ formulas("crops", "Leaf area, absorbed light, irrigation, soils.", {
     "irrigation": (lambda: land.irrigation_mm(col("hours") * 10.0, col("crop"), col("unit")), "GREATEST(0, hours * 10 * CASE crop WHEN 'maize' THEN 1.0 WHEN 'rice' THEN 1.1 ELSE 0.85 END - 0.8 * unit)"),
     "soil_class": (lambda: land.soil_class(col("hours"), col("hours") + 3.0), "CASE WHEN hours >= 2 AND hours + 3 BETWEEN 5.5 AND 8 THEN 'good' WHEN hours >= 2 OR hours + 3 BETWEEN 5.5 AND 8 THEN 'fair' ELSE 'poor' END"),
     "soil_carbon": (lambda: land.soil_carbon_after(col("cn"), c(2.0), c(0.03)), "2 / 0.03 + (cn - 2 / 0.03) * EXP(-0.6)"),
-    "et0": (lambda: land.reference_et(col("temp") + 10.0, col("temp"), c(0.6), c(6.0)), None),
+    "et0": (lambda: land.reference_et(col("temp") + 10.0, col("temp"), c(0.6), c(6.0)), f"GREATEST(0.0, 0.0023 * {RA} * (temp + 5 + 17.8) * SQRT(10.0))"),
 })
 formulas("cities", "Density, walking time, pipes, market pull.", {
     "far": (lambda: land.floor_area_ratio(col("rain") * 100.0, col("area")), "rain * 100 / area"),
@@ -332,12 +335,11 @@ def dark_object(spark, d):
     return stats.darkest_mean(fx.raster(spark, d).select(F.col("red").alias("v")), 0.01).select(rounded(F.col("haze")).alias("haze"))
 
 
-@query("coherence", f"SELECT r, c, {r('SUM(red * nir) OVER w / SQRT(SUM(red * red) OVER w * SUM(nir * nir) OVER w)')} AS v FROM (SELECT r, c, COALESCE(red, 0.1) AS red, COALESCE(nir, 0.1) AS nir FROM g_raster) WINDOW w AS (PARTITION BY r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", ("g_raster",))
+@query("coherence", f"SELECT r, c, {r('SUM(red * nir) OVER w / SQRT(SUM(red * red) OVER w * SUM(nir * nir) OVER w)')} AS v FROM (SELECT r, c, COALESCE(red, 0.1) AS red, COALESCE(nir, 0.1) AS nir FROM g_raster) WINDOW w AS (ORDER BY r, c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", ("g_raster",))
 def coherence(spark, d):
-    w = Window.partitionBy("r").orderBy("c").rowsBetween(-2, 2)
-    g = fx.raster(spark, d).select("r", "c", F.coalesce("red", F.lit(0.1)).alias("m"), F.coalesce("nir", F.lit(0.1)).alias("s"))
-    s = lambda x: F.sum(x).over(w)
-    return g.select("r", "c", rounded(s(F.col("m") * F.col("s")) / F.sqrt(s(F.col("m") * F.col("m")) * s(F.col("s") * F.col("s")))).alias("v"))
+    """Windows run over the raster line after line, so they reach across the ends of lines."""
+    g = fx.raster(spark, d).select("r", "c", F.coalesce("red", F.lit(0.1)).alias("master"), F.coalesce("nir", F.lit(0.1)).alias("slave"))
+    return raster.coherence(g, 40, 2).select("r", "c", rounded(F.col("coherence")).alias("v"))
 
 
 @query("seismic_cells", "SELECT z.zone_id, COUNT(*) AS n, MAX(mag) AS top FROM g_quakes q JOIN g_zones z ON q.lon >= z.x0 AND q.lon < z.x1 AND q.lat >= z.y0 AND q.lat < z.y1 GROUP BY z.zone_id", ("g_quakes", "g_zones"))

@@ -425,17 +425,31 @@ def watershed(spark, d):
     return flow.watershed(flow.d8_direction(fx.raster(spark, d)), 4, 7).agg(F.count("*").alias("cells"))
 
 
-@query("pit_filling")
+FILLED = f"{AROUND}, filled AS (SELECT r, c, CASE WHEN present = 8 AND z < LEAST({', '.join(raster.AROUND)}) THEN LEAST({', '.join(raster.AROUND)}) + 0.001 ELSE z END AS z FROM around), "
+FILLED += D8.replace("around", "around2").replace("g_raster", "filled")
+
+
+@query("pit_filling", "SELECT dir, COUNT(*) AS cells FROM d8 GROUP BY dir", ("g_raster",), FILLED)
 def pit_filling(spark, d):
     return flow.d8_direction(fx.raster(spark, d), filled=True).groupBy("dir").agg(F.count("*").alias("cells"))
 
 
-@query("cost_distance")
+SHIFTS = ", ".join(f"({a}, {b})" for a, b in raster.AROUND.values())
+COST = f"""steps AS (SELECT a.r, a.c, b.r AS nr, b.c AS nc, SQRT(s.dr * s.dr + s.dc * s.dc) * (1 + 5 * (a.z + b.z) / 200) AS cost FROM g_raster a, (VALUES {SHIFTS}) AS s(dr, dc) JOIN g_raster b ON b.r = a.r + s.dr AND b.c = a.c + s.dc UNION ALL SELECT r, c, r, c, 0 FROM g_raster),
+hops AS (SELECT COUNT(*) AS most FROM (SELECT DISTINCT r FROM g_raster)),
+go(i, r, c, d) AS (SELECT 0, 0, 0, 0.0::DOUBLE UNION ALL SELECT i + 1, nr, nc, MIN(d + cost) FROM go JOIN steps ON steps.r = go.r AND steps.c = go.c WHERE i < (SELECT 2 * most + 60 FROM hops) GROUP BY i, nr, nc)"""
+
+
+@query("cost_distance", f"SELECT r::BIGINT AS r, c::BIGINT AS c, {r('d')} AS d FROM go WHERE i = (SELECT MAX(i) FROM go)", ("g_raster",), COST)
 def cost_distance(spark, d):
     return flow.cost_distance(fx.raster(spark, d), 0, 0).select("r", "c", rounded(F.col("d")).alias("d"))
 
 
-@query("inundation_level")
+@query(
+    "inundation_level",
+    f"""SELECT {r("level", 4)} AS level, (SELECT COUNT(*) FROM g_raster WHERE z < level) AS cells FROM (SELECT LEAST(MIN((5000.0 + s) / k), MAX(z) + 10) AS level FROM (SELECT z, SUM(z) OVER w AS s, COUNT(*) OVER w AS k FROM g_raster WINDOW w AS (ORDER BY z)))""",
+    ("g_raster",),
+)
 def inundation_level(spark, d):
     return flow.inundation_level(fx.raster(spark, d), 5000.0, 1.0).select(rounded(F.col("level"), 4).alias("level"), "cells")
 
