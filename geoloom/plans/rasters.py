@@ -197,7 +197,17 @@ def equal_interval(spark, d):
     return stats.equal_interval_breaks(fx.points(spark, d).select(F.col("w").alias("v")), 5).select("i", rounded(F.col("value")).alias("value"))
 
 
-@query("jenks")
+SSE = "({b}.q - {a}.q - POW({b}.s - {a}.s, 2) / ({b}.n - {a}.n))"
+# the least deviations of 1 to 4 classes up to each value, one layer after the other
+JENKS = f"""pre AS (SELECT z, ROW_NUMBER() OVER (ORDER BY z) AS j, SUM(n) OVER w AS n, SUM(n * z) OVER w AS s, SUM(n * z * z) OVER w AS q FROM (SELECT z, COUNT(*)::DOUBLE AS n FROM g_raster GROUP BY z) WINDOW w AS (ORDER BY z)),
+b1 AS (SELECT *, q - s * s / n AS b FROM pre),
+b2 AS (SELECT p.z, p.j, p.n, p.s, p.q, MIN(a.b + {SSE.format(a='a', b='p')}) AS b, ARG_MIN(a.j, a.b + {SSE.format(a='a', b='p')}) AS i FROM b1 a JOIN pre p ON a.j < p.j GROUP BY ALL),
+b3 AS (SELECT p.z, p.j, p.n, p.s, p.q, MIN(a.b + {SSE.format(a='a', b='p')}) AS b, ARG_MIN(a.j, a.b + {SSE.format(a='a', b='p')}) AS i FROM b2 a JOIN pre p ON a.j < p.j GROUP BY ALL),
+b4 AS (SELECT p.j, MIN(a.b + {SSE.format(a='a', b='p')}) AS b, ARG_MIN(a.j, a.b + {SSE.format(a='a', b='p')}) AS i FROM b3 a JOIN (SELECT * FROM pre ORDER BY j DESC LIMIT 1) p ON a.j < p.j GROUP BY ALL),
+spot AS (SELECT b2.i AS e1, b3.i AS e2, b4.i AS e3, b4.b / (SELECT q - s * s / n FROM pre ORDER BY j DESC LIMIT 1) AS rest FROM b4 JOIN b3 ON b3.j = b4.i JOIN b2 ON b2.j = b3.i)"""
+
+
+@query("jenks", f"SELECT k.i::INTEGER AS i, {r('z')} AS value, {r('1 - rest')} AS gvf FROM spot, (VALUES (1), (2), (3)) AS k(i) JOIN pre ON pre.j = CASE k.i WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END", ("g_raster",), JENKS)
 def jenks(spark, d):
     return stats.jenks_breaks(fx.raster(spark, d).select(F.col("z").alias("v")), 4).select("i", rounded(F.col("value")).alias("value"), rounded(F.col("gvf")).alias("gvf"))
 

@@ -322,3 +322,69 @@ def test_folds_over_several_runs(spark):
         x = i % 7 + 0.5 * x
         assert abs(got["a", i] - x) < 1e-9
     assert got["b", 0] == 2.0
+
+
+def test_tables_and_stores(spark, tmp_path):
+    from geoloom.sources import tables
+
+    rows = spark.createDataFrame([(1, 10.0, 20.0, "{}"), (2, -30.0, 5.0, "{}")], "id long, lon double, lat double, props string")
+    name = f"places_{random.randrange(10**9)}"
+    try:
+        assert tables.ingest(rows, name) == 2 and tables.count_rows(spark, name) == 2 and name in tables.list_tables(spark)
+        with pytest.raises(ValueError):
+            tables.ingest(rows.withColumn("lat", F.lit(95.0)), name)
+        assert tables.count_rows(spark, name) == 2
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.put_objects(rows.select(F.col("props").alias("value")).coalesce(1), str(tmp_path / "store"))
+    listed = tables.list_objects(spark, str(tmp_path / "store"), "*.txt").collect()
+    assert len(listed) == 1 and listed[0].length == 6
+    assert bytes(tables.get_objects(spark, str(tmp_path / "store"), "*.txt").first().content) == b"{}\n{}\n"
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    from geoloom.sources import tables
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no JDBC driver here")
+    df = spark.range(100).selectExpr("cast(id as int) as id", "cast(id * 2 as double) as v")
+    tables.jdbc_push(df, url, "nums", driver=driver, rows_a_batch=30)
+    assert tables.jdbc_pull(spark, url, "nums", driver=driver).where("id >= 90").count() == 10
+    got = tables.jdbc_pull(spark, url, "nums", ("ID", 0, 100, 4), driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.agg(F.sum("v")).first()[0] == 9900.0
+
+
+def test_geoparquet_files(spark, tmp_path):
+    import io
+
+    import pyarrow.parquet as pq
+
+    from geoloom.sources import tables
+
+    rng = np.random.default_rng(1)
+    data = [(i, float(x), float(y), json.dumps({"n": i})) for i, (x, y) in enumerate(rng.uniform(-80, 80, (500, 2)))]
+    points = spark.createDataFrame(data, "id long, lon double, lat double, props string")
+    seen = []
+    for r in tables.geoparquet_files(points, 3, 50).collect():
+        file = pq.ParquetFile(io.BytesIO(bytes(r.file)))
+        geo = json.loads(file.metadata.metadata[b"geo"])
+        table = file.read().to_pylist()
+        place = [np.frombuffer(t["geometry"][5:], "<f8") for t in table]
+        own = geo["columns"]["geometry"]
+        assert geo["version"] == "1.1.0" and own["encoding"] == "WKB" and own["geometry_types"] == ["Point"]
+        assert own["bbox"] == [min(p[0] for p in place), min(p[1] for p in place), max(p[0] for p in place), max(p[1] for p in place)]
+        assert file.metadata.num_row_groups > 1
+        seen += [(t["id"], float(p[0]), float(p[1]), t["props"]) for t, p in zip(table, place)]
+    assert sorted(seen) == sorted(data)
+    path = str(tmp_path / "points")
+    tables.with_covering(points).repartitionByRange(8, "lon").write.parquet(path)
+    found = tables.box_scan(spark, path, (-10.0, -20.0, 15.0, 30.0))
+    assert {r.id for r in found.collect()} == {i for i, x, y, _ in data if -10 <= x <= 15 and -20 <= y <= 30}
+    assert "PushedFilters: [" in (plan := found._jdf.queryExecution().toString()) and "LessThanOrEqual(xmin" in plan
+    groups = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0), (20.0, 0.0, 30.0, 1.0), (None, 0.0, 1.0, 1.0)], "a double, b double, c double, d double")
+    verdict = tables.group_verdict((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), (-10.0, -20.0, 15.0, 30.0))
+    assert [r[0] for r in groups.select(verdict).collect()] == ["intersects", "disjoint", "unknown"]
