@@ -100,13 +100,13 @@ def _worker_table(path: str, words: int) -> WordIds:
     return _TABLES[path, words]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words: int = CACHE, chunk: int = TOKEN_BYTES, keep: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of docs(doc_id, text).  A worker remembers up
-    to `words` words, and looks at `chunk` bytes of text at a time."""
+    to `words` words, keeps them between tasks (or not), and looks at `chunk` bytes of text at a time."""
 
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _worker_table(tokenizer, words)
+        table = _worker_table(tokenizer, words) if keep else WordIds(tokenizer, words)
         for batch in batches:
             for part in tx.chunks(batch, "text", chunk):
                 ids, off = table.encode(tx.column(part, "text"), end_id)
@@ -369,9 +369,9 @@ class _Offers:
         raise AssertionError("no such items")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096, shard_items: int = 50_000, words: int = CACHE, chunk: int = TOKEN_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_bins: int = 4096, shard_items: int = 50_000, words: int = CACHE, chunk: int = TOKEN_BYTES, keep: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs(doc_id, text)."""
-    cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id, words=words, chunk=chunk))
+    cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id, words=words, chunk=chunk, keep=keep))
     total, count = cut_pieces.agg(F.sum("length"), F.count("*")).first()
     shards = max(1, round((total or 0) / capacity / shard_bins), -(-count // shard_items))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -29,6 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
+    # Executors hold a finished execution's broadcasts until the driver collects garbage, and no public call frees them: it is asked to
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
