@@ -94,7 +94,7 @@ it(i, a_id, l, u1, u2, lam, moved) AS (SELECT 0, a_id, l, u1, u2, l, 1e9 FROM pr
  SELECT *, l + (1 - k) * {FL} * sa * (sg + k * ss * (cm + k * cs * (2 * cm * cm - 1))) AS nl FROM (SELECT *, {FL} / 16 * c2 * (4 + {FL} * (4 - 3 * c2)) AS k, CASE WHEN c2 = 0 THEN 0 ELSE cs - 2 * SIN(u1) * SIN(u2) / c2 END AS cm FROM (SELECT *, 1 - sa * sa AS c2, ATAN2(ss, cs) AS sg FROM (
  SELECT *, CASE WHEN ss = 0 THEN 0 ELSE COS(u1) * COS(u2) * SIN(lam) / ss END AS sa FROM (SELECT *, {SIN_S} AS ss, {COS_S} AS cs FROM it WHERE i < 60))))))"""
 # the length from the angles of the last round, with the series in u^2
-VLEN = f"""SELECT a_id, CASE WHEN moved < 1e-9 THEN {r('b * ca * (sg - cb * ss * (cm + cb / 4 * (cs * (2 * cm * cm - 1) - cb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))', 3)} END AS metres FROM (
+VLEN = f"""SELECT a_id, CASE WHEN moved < 1e-9 THEN {r('b * ca * (sg - cb * ss * (cm + cb / 4 * (cs * (2 * cm * cm - 1) - cb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))', 1)} END AS metres FROM (
  SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS ca, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS cb FROM (SELECT *, c2 * (6378137.0 * 6378137.0 - b * b) / (b * b) AS q, CASE WHEN c2 = 0 THEN 0 ELSE cs - 2 * SIN(u1) * SIN(u2) / c2 END AS cm FROM (
  SELECT *, 6378137.0 * (1 - {FL}) AS b, 1 - POW(CASE WHEN ss = 0 THEN 0 ELSE COS(u1) * COS(u2) * SIN(lam) / ss END, 2) AS c2, ATAN2(ss, cs) AS sg FROM (SELECT *, {SIN_S} AS ss, {COS_S} AS cs FROM it WHERE i = 60))))"""
 
@@ -103,7 +103,7 @@ VLEN = f"""SELECT a_id, CASE WHEN moved < 1e-9 THEN {r('b * ca * (sg - cb * ss *
 def vincenty_inverse(spark, d):
     a = fx.points(spark, d).select(F.col("id").alias("a_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     b = fx.points(spark, d).select((F.col("id") - 1).alias("a_id"), "lon", "lat")
-    return a.join(b, "a_id").select("a_id", rounded(crs.vincenty_m(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")), 3).alias("metres"))
+    return a.join(b, "a_id").select("a_id", rounded(crs.vincenty_m(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")), 1).alias("metres"))
 
 
 @query("vincenty_round_trip", f"SELECT id, {r('100000.0', 3)} AS metres FROM g_points WHERE ABS(lat) < 80", ("g_points",))
@@ -478,15 +478,15 @@ def _classes(spark, d):
     return carbon.class_emissions(joins.valid_factor_join(p, _factors(spark, d), 2020))
 
 
-@query("carbon_classes", f"SELECT cls, features, factor_value, {r('area_ha', 1)} AS area_ha, {r('emission', 1)} AS emission, CAST(ROW_NUMBER() OVER (ORDER BY ABS(emission) DESC, cls) AS INTEGER) AS place FROM classes", ("g_points", "g_factors"), f"{FACT}, {CLASSES}")
+@query("carbon_classes", f"SELECT cls, features, factor_value, {r('area_ha', 2)} AS area_ha, {r('emission', 1)} AS emission, CAST(ROW_NUMBER() OVER (ORDER BY ABS(emission) DESC, cls) AS INTEGER) AS place FROM classes", ("g_points", "g_factors"), f"{FACT}, {CLASSES}")
 def carbon_classes(spark, d):
-    return _classes(spark, d).select("cls", "features", "factor_value", rounded(F.col("area_ha"), 1).alias("area_ha"), rounded(F.col("emission"), 1).alias("emission"), "place")
+    return _classes(spark, d).select("cls", "features", "factor_value", rounded(F.col("area_ha"), 2).alias("area_ha"), rounded(F.col("emission"), 1).alias("emission"), "place")
 
 
-@query("carbon_totals", f"SELECT {r('SUM(area_ha)', 1)} AS area_ha, {r('SUM(emission)', 1)} AS emission, CAST(SUM(features) AS BIGINT) AS features FROM classes", ("g_points", "g_factors"), f"{FACT}, {CLASSES}")
+@query("carbon_totals", f"SELECT {r('SUM(area_ha)', 2)} AS area_ha, {r('SUM(emission)', 1)} AS emission, CAST(SUM(features) AS BIGINT) AS features FROM classes", ("g_points", "g_factors"), f"{FACT}, {CLASSES}")
 def carbon_totals(spark, d):
     t = carbon.report_totals(_classes(spark, d))
-    return t.select(rounded(F.col("area_ha"), 1).alias("area_ha"), rounded(F.col("emission"), 1).alias("emission"), "features")
+    return t.select(rounded(F.col("area_ha"), 2).alias("area_ha"), rounded(F.col("emission"), 1).alias("emission"), "features")
 
 
 @query("top_classes", f"SELECT cls, {r('emission', 1)} AS emission FROM classes ORDER BY ABS(emission) DESC, cls LIMIT 2", ("g_points", "g_factors"), f"{FACT}, {CLASSES}")
