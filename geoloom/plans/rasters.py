@@ -424,7 +424,15 @@ def flow_accumulation(spark, d):
     return flow.flow_accumulation(flow.d8_direction(fx.raster(spark, d))).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "acc")
 
 
-@query("stream_order")
+# every round gives each stream cell the order its tributaries have come to; heads have 1 from the start
+STREAM = f"""{DOWN}, walk AS (SELECT r AS sr, c AS sc, dr AS er, dc AS ec FROM down UNION ALL SELECT w.sr, w.sc, d.dr, d.dc FROM walk w JOIN down d ON d.r = w.er AND d.c = w.ec),
+sc AS (SELECT er AS r, ec AS c FROM walk GROUP BY er, ec HAVING COUNT(*) >= 2), se AS (SELECT d.r, d.c, d.dr, d.dc, COUNT(*) OVER (PARTITION BY d.dr, d.dc) AS inflows FROM down d JOIN sc a ON a.r = d.r AND a.c = d.c JOIN sc b ON b.r = d.dr AND b.c = d.dc),
+feeds AS (SELECT r, c, dr, dc, inflows FROM se UNION ALL SELECT r, c, r, c, 0 FROM sc ANTI JOIN (SELECT dr AS r, dc AS c FROM se) USING (r, c)), hops AS (SELECT 2 * COUNT(*) + 60 AS most FROM (SELECT DISTINCT r FROM g_raster)),
+strahler(i, r, c, o) AS (SELECT 0, r, c, CASE WHEN inflows = 0 THEN 1 END FROM (SELECT DISTINCT dr AS r, dc AS c, inflows FROM feeds) UNION ALL SELECT i + 1, dr, dc, CASE WHEN inflows = 0 THEN 1 WHEN COUNT(o) = inflows THEN MAX(o) + CASE WHEN LIST_SORT(LIST(o), 'DESC')[2] = MAX(o) THEN 1 ELSE 0 END END
+ FROM strahler JOIN feeds ON feeds.r = strahler.r AND feeds.c = strahler.c WHERE i < (SELECT most FROM hops) GROUP BY i, dr, dc, inflows)"""
+
+
+@query("stream_order", 'SELECT o AS "order", COUNT(*) AS cells FROM strahler WHERE i = (SELECT MAX(i) FROM strahler) GROUP BY o', ("g_raster",), STREAM)
 def stream_order(spark, d):
     dirs = flow.d8_direction(fx.raster(spark, d)).cache()
     return flow.strahler(dirs, flow.streams(flow.flow_accumulation(dirs), 2)).groupBy("order").agg(F.count("*").alias("cells"))
