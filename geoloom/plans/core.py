@@ -304,7 +304,11 @@ def point_buffer(spark, d):
     return fx.points(spark, d).select("id", rounded(geometry.area_deg2(geometry.point_buffer(F.col("lon"), F.col("lat"), F.lit(0.5)))).alias("area"))
 
 
-@query("buffer_hull")
+# the hull of a convex ring's octagons is its Minkowski sum with one: area, octagon, and each edge times the octagon's reach along its normal
+REACH = "LIST_MAX(LIST_TRANSFORM(RANGE(0, 8), lambda k: 0.5 * COS(ATAN2(ax - qx, qy - ay) - k * PI() / 4)))"
+
+
+@query("buffer_hull", f"SELECT poly_id, {r(f'SUM(ax * qy - qx * ay) / 2 + 4 * 0.25 * SIN(PI() / 4) + SUM(SQRT(POW(qx - ax, 2) + POW(qy - ay, 2)) * {REACH})', 4)} AS area FROM edges GROUP BY poly_id", ("g_poly_vertices",), RING)
 def buffer_hull(spark, d):
     return polygons.buffer_hull(fx.polygons(spark, d), 0.5).select("poly_id", rounded(geometry.area_deg2(F.col("ring")), 4).alias("area"))
 
