@@ -81,7 +81,7 @@ def _rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Rarity()
         for batch in batches:
-            for part in tx.chunks(batch, "text"):
+            for part in tx.chunks(batch, "text", 4 * tx.CHUNK_BYTES):
                 table.add(*tx.counted(tx.column(part, "text")))
         yield table.rows()
 
@@ -127,7 +127,7 @@ def _classes(docs: DataFrame, rarity: tuple[np.ndarray, np.ndarray], threshold:
     @tx.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.chunks(batch, "text"):
+            for part in tx.chunks(batch, "text", 2 * tx.CHUNK_BYTES):
                 lists = pc.split_pattern(tx.column(part, "text"), "\n")
                 text_off = tx.offsets_of(lists)
                 code, off, known = tx.coded(lists.flatten())
@@ -235,11 +235,10 @@ def _first_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     rows = classes.where(F.size("tokens") > 0).select(least, *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "low", "high")])
     share = Window.partitionBy("least", F.pmod(F.xxhash64("x_id"), F.lit(SALTS))).orderBy("x_id")
     one = F.struct(*[F.col(f"x_{c}").alias(f"y_{c}") for c in ("id", "size", "low", "high")])
-    test = _possible("x", "y", threshold, placed=False)
-    for c in ("size", "low", "high"):
-        test = test.replace(f"y_{c}", f"y.y_{c}")
     rows = rows.withColumn("before", F.collect_list(one).over(share.rowsBetween(-BEFORE, -1))).where(F.size("before") > 0)
-    return rows.select("x_id", F.explode(F.expr(f"filter(before, y -> {test})")).alias("y")).select(F.col("x_id").alias("id"), F.col("y.y_id").alias("other")).distinct()
+    # exploded first: compiled code then tests the pairs, where a lambda would be interpreted
+    rows = rows.select("x_id", "x_size", "x_low", "x_high", F.explode("before").alias("y")).select("x_id", "x_size", "x_low", "x_high", "y.*")
+    return rows.where(_possible("x", "y", threshold, placed=False)).select(F.col("x_id").alias("id"), F.col("y_id").alias("other")).distinct()
 
 
 def _other_pairs(classes: DataFrame, gone: DataFrame, threshold: float) -> DataFrame:
@@ -263,6 +262,29 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return classes.select("id", "doc_id", "th", "line").join(small(gone), "id", "left_anti").drop("id")
 
 
+def _left(texts: pa.Array, kept: pa.Array) -> pa.Array:
+    """Each text without its lines that have words and are not kept, how many these are, and whether a line with words
+    is left or there was none.  What a word is, the same function says that made the sets."""
+    parts = []
+    for part in tx.chunks(pa.RecordBatch.from_arrays([texts, kept], ["text", "kept"]), "text"):
+        null = part.column(0).is_null()
+        lists = pc.split_pattern(tx.column(part, "text"), "\n")
+        off, lines = tx.offsets_of(lists), lists.flatten()
+        text = np.repeat(np.arange(part.num_rows), np.diff(off))
+        chosen = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False))
+        stays = np.zeros(len(lines), bool)
+        stays[off[chosen] + part.column(1).flatten().to_numpy(zero_copy_only=False)] = True
+        rest = np.flatnonzero(~stays)
+        goes = np.zeros(len(lines), bool)
+        goes[rest] = tx.has_words(lines.take(pa.array(rest)))
+        removed = np.bincount(text[goes], minlength=part.num_rows)
+        some = np.bincount(chosen, minlength=part.num_rows) > 0
+        left = tx.list_array(lines.filter(pa.array(~goes)), np.concatenate([[0], np.cumsum(~goes)])[off])
+        joined = pc.if_else(null, pa.scalar(None, pa.large_string()), pc.binary_join(left, pa.scalar("\n", pa.large_string())))
+        parts.append(pa.StructArray.from_arrays([joined.cast(pa.string()), pa.array(removed.astype(np.int64)), pa.array(some | (removed == 0))], ["text", "removed", "stays"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("removed", pa.int64()), ("stays", pa.bool_())]))
+
+
 def dedup_documents(docs: DataFrame, threshold: float = 0.8, drop_emptied: bool = False) -> DataFrame:
     """All rows and columns of docs, `text` without the lines that go, with n_lines_removed (null text: null, 0).
     drop_emptied: without the rows that lose every line with words."""
@@ -274,11 +296,8 @@ def dedup_documents(docs: DataFrame, threshold: float = 0.8, drop_emptied: bool
     # a row a document on the kept side, so that its share of a partition fits in a hash table and no text is sorted
     kept = kept.hint("shuffle_hash")
     out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__geoloom_d"]) & (th == kept["__geoloom_h"]), "left")
-    stays = F.coalesce("__geoloom_kept", F.array().cast("array<int>"))
-    lines = F.split(docs["text"], "\n", -1)
-    left = F.filter(lines, lambda x, i: F.array_contains(F.col("__geoloom_stays"), i) | ~x.rlike(r"[\p{L}\p{N}]"))
-    out = out.withColumn("__geoloom_stays", stays).withColumn("__geoloom_left", left)
-    removed = F.coalesce(F.size(lines) - F.size("__geoloom_left"), F.lit(0))
+    left = F.arrow_udf(_left, "text string, removed long, stays boolean")
+    out = out.withColumn("__geoloom_left", left(docs["text"].cast("string"), F.col("__geoloom_kept")))
     if drop_emptied:
-        out = out.where((F.size("__geoloom_stays") > 0) | (F.coalesce(F.size("__geoloom_left") == F.size(lines), F.lit(True))))
-    return out.select(*[F.array_join("__geoloom_left", "\n").alias("text") if c == "text" else F.col(c) for c in names], removed.cast("long").alias("n_lines_removed"))
+        out = out.where("__geoloom_left.stays")
+    return out.select(*[F.col("__geoloom_left.text").alias("text") if c == "text" else F.col(c) for c in names], F.col("__geoloom_left.removed").alias("n_lines_removed"))

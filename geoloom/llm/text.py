@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once in a Python worker; bounds its memory whatever the batch holds.
 CHUNK_BYTES = 2 << 20
 _TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_ASCII_OTHER = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def u64(x: int) -> np.uint64:
@@ -128,12 +129,26 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trimmed(names: pa.Array) -> pa.Array:
-    """Without what is neither letter nor digit at either end; most names have none, and only the others are searched."""
+    """Without what is neither letter nor digit at either end.  Most names have none; of the others only those beyond ASCII are
+    searched by the pattern."""
     other = pc.invert(pc.utf8_is_alnum(names))
     at = np.flatnonzero(other.to_numpy(zero_copy_only=False))
     if not len(at):
         return names
-    return pc.replace_with_mask(names, other, pc.replace_substring_regex(names.take(pa.array(at)), pattern=_TRIM, replacement=""))
+    cut = pc.ascii_trim(names.take(pa.array(at)), characters=_ASCII_OTHER)
+    wide = pc.invert(pc.string_is_ascii(cut))
+    if pc.any(wide).as_py():
+        cut = pc.replace_with_mask(cut, wide, pc.replace_substring_regex(cut.filter(wide), pattern=_TRIM, replacement=""))
+    return pc.replace_with_mask(names, other, cut)
+
+
+def has_words(texts: pa.Array) -> np.ndarray:
+    """Whether coded() finds a word in each text.  One letter or digit decides; only texts in which the search finds none are split."""
+    has = pc.match_substring_regex(texts, pattern=r"[\p{L}\p{N}]").to_numpy(zero_copy_only=False).copy()
+    rest = np.flatnonzero(~has)
+    if len(rest):
+        has[rest] = np.diff(coded(texts.take(pa.array(rest)))[1]) > 0
+    return has
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
