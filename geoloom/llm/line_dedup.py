@@ -286,6 +286,17 @@ def _left(texts: pa.Array, kept: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("removed", pa.int64()), ("stays", pa.bool_())]))
 
 
+def _left_of_all(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """_left() of every batch; memory goes back when a batch is done, and when the partition is."""
+    for texts, kept in columns:
+        out = _left(texts, kept)
+        del texts, kept
+        tx.trim()
+        yield out
+        del out
+    tx.trim()
+
+
 def dedup_documents(docs: DataFrame, threshold: float = 0.8, drop_emptied: bool = False) -> DataFrame:
     """All rows and columns of docs, `text` without the lines that go, with n_lines_removed (null text: null, 0).
     drop_emptied: without the rows that lose every line with words."""
@@ -297,7 +308,7 @@ def dedup_documents(docs: DataFrame, threshold: float = 0.8, drop_emptied: bool
     # a row a document on the kept side, so that its share of a partition fits in a hash table and no text is sorted
     kept = kept.hint("shuffle_hash")
     out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__geoloom_d"]) & (th == kept["__geoloom_h"]), "left")
-    left = F.arrow_udf(_left, "text string, removed long, stays boolean")
+    left = F.arrow_udf(_left_of_all, "text string, removed long, stays boolean")
     out = out.withColumn("__geoloom_left", left(docs["text"].cast("string"), F.col("__geoloom_kept")))
     if drop_emptied:
         out = out.where("__geoloom_left.stays")
