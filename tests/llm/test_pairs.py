@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from geoloom.llm import ann, components, decontaminate, line_dedup, ngram_join, packing, queries, text
@@ -302,26 +301,3 @@ def test_ties_by_brute_force(spark):
         for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, shard_points=shard_points).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == exact
-
-
-def test_lines_left_of_texts():
-    """What is left of a text, against one line at a time; of slices and of texts with many lines as of others."""
-    letters = ["a", "Ж", "٣", "ⅷ", "²", "\U0001e900", "\U0002ebf0", "Ᲊ", ".", "—", "́", "", " "]
-    rng = random.Random(3)
-    texts = [None, "", "\n\n"] + ["\n".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["\n".join(f"w{i}" if i % 3 else "" for i in range(200_000))]
-    kept = []
-    for t in texts:
-        lines = [i for i, x in enumerate((t or "").split("\n")) if text.has_words(pa.array([x]))[0]] if len(t or "") < 1000 else range(1, 200_000, 3)
-        kept.append(sorted(rng.sample(list(lines), rng.randint(0, len(lines)))) or None)
-    got = line_dedup._left(pa.array(["x"] + texts).slice(1), pa.array([[0]] + kept, pa.list_(pa.int32())).slice(1)).to_pylist()
-    for t, k, r in zip(texts, kept, got, strict=True):
-        lines, stay = (t or "").split("\n"), set(k or [])
-        has = text.has_words(pa.array(lines))
-        left = [x for i, x in enumerate(lines) if i in stay or not has[i]]
-        assert r == {"text": None if t is None else "\n".join(left), "removed": len(lines) - len(left), "stays": bool(stay) or not has.any()}
-    assert line_dedup._left(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).to_pylist() == []
-
-
-def test_has_words_is_what_the_sets_hold():
-    given = pa.array([chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000])
-    assert (text.has_words(given) == (np.diff(text.coded(given)[1]) > 0)).all()
