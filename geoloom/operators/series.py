@@ -182,7 +182,8 @@ def breaks(series: DataFrame, period: int = 12, most: int = 5) -> DataFrame:
             if p < 0.05 and 1 < at < b - a - 1:
                 found.append(a + at)
                 todo = [(a, a + at), (a + at, b), *todo]
-        return pd.DataFrame({"sid": [sid] * len(found), "break_at": sorted(found)})
+        # typed, as a frame without rows has no values to take types from
+        return pd.DataFrame({"sid": pd.Series([sid] * len(found), dtype=object), "break_at": np.array(sorted(found), np.int64)})
 
     return _per_series(series, one, "sid string, break_at long")
 

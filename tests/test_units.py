@@ -169,6 +169,13 @@ def test_cost_distance_query_against_dijkstra(spark, sf_dir):
     assert got == pytest.approx(best, abs=2e-6)
 
 
+def test_series_without_breaks(spark):
+    flat, step = [("a", k, 1.0) for k in range(40)], [("b", k, float(k >= 20)) for k in range(40)]
+    assert series.breaks(spark.createDataFrame(flat, "sid string, t int, v double")).collect() == []
+    got = series.breaks(spark.createDataFrame([*flat, *step], "sid string, t int, v double")).collect()
+    assert {x.sid for x in got} == {"b"}
+
+
 def test_empty_inputs(spark):
     cells = spark.createDataFrame([], "r int, c int, z double, zone int")
     assert raster.neighbours(cells).count() == 0
