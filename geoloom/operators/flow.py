@@ -1,19 +1,27 @@
 """Drainage, paths and cellular automata on rasters.
 
 Directions and accumulations work on edges (cell, downstream cell) of a table; upstream sums double the reach every round (pointer jumping), so
-the rounds grow with the logarithm of the longest path.  Cost paths and watersheds relax frontiers in rounds.  Tables are cut
+the rounds grow with the logarithm of the longest path.  Cost paths are solved in tiles that exchange their edges.  Tables are cut
 from their lineage by checkpoints between rounds.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import operator
 from ..session import cut
+from .grouped import runs
 from .raster import AROUND, neighbours
 
+#: Side of a square tile of cost_distance.
+_SIDE = 512
+
 #: Direction codes: east 0, then clockwise (as seen with rows downwards) to north-east 7.
 DIRECTIONS = {"e": 0, "se": 1, "s": 2, "sw": 3, "w": 4, "nw": 5, "n": 6, "ne": 7}
 PIT = 255
@@ -99,23 +107,112 @@ def watershed(directions: DataFrame, row: int, col: int) -> DataFrame:
         ends = moved
 
 
+def _tile_shape(rows: int, cols: int) -> tuple[int, int]:
+    """Height and width of the tiles of cost_distance: squares, or as wide (high) as a raster that is narrower, and longer for it."""
+    if cols <= _SIDE:
+        return min(rows, max(_SIDE * _SIDE // cols, 1)), cols
+    return (rows, min(cols, _SIDE * _SIDE // rows)) if rows <= _SIDE else (_SIDE, _SIDE)
+
+
+def _pack_tiles(high: int, wide: int, r0: int, c0: int):
+    """Rows (tr, tc, r, c, z), sorted by tile, as one array of z a tile, with a margin of one cell; NaN where there is no cell."""
+
+    def run(batches):
+        for part in runs(batches, ["tr", "tc"]):
+            tr, tc = part["tr"][0].as_py(), part["tc"][0].as_py()
+            z = np.full((high + 2, wide + 2), np.nan)
+            at = part["r"].to_numpy() - (r0 + tr * high - 1), part["c"].to_numpy() - (c0 + tc * wide - 1)
+            np.fmin.at(z, at, part["z"].to_numpy())
+            yield pa.RecordBatch.from_pydict({"tr": [tr], "tc": [tc], "z": [z.tobytes()]})
+
+    return run
+
+
+def _tile_costs(z: np.ndarray, seeds: list[tuple[int, float]], size: float, most: float) -> np.ndarray:
+    """Least costs inside a tile (with its margin) from seeds (place, cost), by Dijkstra's method; the margin is reached, not left."""
+    wide = z.shape[1]
+    inner = np.zeros(z.shape, bool)
+    inner[1:-1, 1:-1] = True
+    inner, z = inner.ravel().tolist(), z.ravel().tolist()
+    d = [float("inf")] * len(z)
+    moves = [(a * wide + b, size * (2**0.5 if a and b else 1.0)) for a, b in AROUND.values()]
+    heap = []
+    for at, cost in seeds:
+        if z[at] == z[at] and cost < d[at]:
+            d[at] = cost
+            heap.append((cost, at))
+    heapify(heap)
+    while heap:
+        d0, at = heappop(heap)
+        if d0 > d[at]:
+            continue
+        z0 = z[at]
+        for move, length in moves:
+            to = at + move
+            o = d0 + length * (1.0 + 5.0 * (z0 + z[to]) / 200.0)
+            if o < d[to] and o <= most:  # never for NaN, where there is no cell
+                d[to] = o
+                if inner[to]:
+                    heappush(heap, (o, to))
+    return np.array(d).reshape(-1, wide)
+
+
+def _relax_tiles(high: int, wide: int, r0: int, c0: int, size: float, most: float, whole: bool):
+    """Tiles with their seeds, as the cells reached: all inside (whole), or those at the edge (own) and in the margin, with the tile that owns them."""
+
+    def run(batches):
+        for batch in batches:
+            for tr, tc, z, seeds in zip(*[batch.column(k).to_pylist() for k in ("tr", "tc", "z", "seeds")]):
+                r, c = r0 + tr * high - 1, c0 + tc * wide - 1
+                z = np.frombuffer(z).reshape(high + 2, wide + 2)
+                d = _tile_costs(z, [((s["r"] - r) * (wide + 2) + s["c"] - c, s["d"]) for s in seeds], size, most)
+                take = np.isfinite(d)
+                inside = np.zeros(d.shape, bool)
+                inside[1:-1, 1:-1] = True
+                if whole:
+                    take &= inside
+                else:
+                    take[2:-2, 2:-2] = False
+                i, j = np.nonzero(take)
+                out = {"r": i + r, "c": j + c, "d": d[i, j]}
+                if not whole:
+                    out = {"tr": (out["r"] - r0) // high, "tc": (out["c"] - c0) // wide, **out, "own": inside[i, j]}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
 @operator("flow")
 def cost_distance(cells: DataFrame, row: int, col: int, size: float = 1.0, most: float = float("inf"), rounds: int = 100_000) -> DataFrame:
     """The least cost from a cell to every cell it reaches: steps cost their length times 1 + 5 (a + b) / 200 with the costs (z) at both
-    ends.  Rounds relax the cells that improved, until none does."""
-    costs = cells.where("z is not null").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z")
-    best = cut(costs.select("r", "c", "z", F.when((F.col("r") == row) & (F.col("c") == col), 0.0).alias("d")))
-    front = best.where("d is not null")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(size * (2**0.5 if a and b else 1.0)).alias("len")) for a, b in AROUND.values()]))
+    ends; null and NaN are no cells, and of cells given twice the cheaper counts.  A round solves the tiles that got a cheaper way in over their edge and
+    passes on what their own edges offer, until none does, so rounds grow with the tiles a path crosses; only cells at edges are written between rounds."""
+    costs = cells.where("z is not null and not isnan(z)").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"))
+    r0, r1, c0, c1 = costs.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if r0 is None:
+        return costs.select("r", "c", F.col("z").alias("d"))
+    high, wide = _tile_shape(r1 - r0 + 1, c1 - c0 + 1)
+    place = (high, wide, r0, c0)
+    owners = lambda v, start, step: F.explode(F.array_distinct(F.array(*[F.floor((F.col(v) - start + k) / F.lit(step)) for k in (-1, 0, 1)])))
+    dealt = costs.withColumn("tr", owners("r", r0, high)).withColumn("tc", owners("c", c0, wide)).repartition("tr", "tc").sortWithinPartitions("tr", "tc")
+    tiles = cut(dealt.select("tr", "tc", "r", "c", "z").mapInArrow(_pack_tiles(*place), "tr long, tc long, z binary"))
+
+    def solved(known: DataFrame, whole: bool, schema: str) -> DataFrame:
+        seeds = known.groupBy("tr", "tc").agg(F.collect_list(F.struct("r", "c", "d")).alias("seeds"))  # the edge of a tile at most
+        return tiles.join(seeds, ["tr", "tc"]).mapInArrow(_relax_tiles(*place, size, most, whole), schema)
+
+    cell = ["tr", "tc", "r", "c"]
+    known = costs.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in zip(cell, ((row - r0) // high, (col - c0) // wide, row, col))], F.lit(0.0).alias("d"), F.lit(True).alias("new"))
     for _ in range(rounds):
-        reach = front.select("r", "c", "z", "d", steps.alias("s")).select((F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("z").alias("z0"), F.col("d").alias("d0"), F.col("s.len").alias("len"))
-        offer = reach.join(costs, ["r", "c"]).select("r", "c", (F.col("d0") + F.col("len") * (1.0 + 5.0 * (F.col("z0") + F.col("z")) / 200.0)).alias("o")).where(F.col("o") <= most).groupBy("r", "c").agg(F.min("o").alias("o"))
-        after = cut(best.join(offer, ["r", "c"], "left").select("r", "c", "z", F.least("d", "o").alias("d"), (F.col("o").isNotNull() & (F.col("d").isNull() | (F.col("o") < F.col("d")))).alias("new")))
-        front = after.where("new").select("r", "c", "z", "d")
-        best = after.select("r", "c", "z", "d")
-        if front.isEmpty():
+        active = known.join(known.where("new").select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+        met = solved(active, False, "tr long, tc long, r long, c long, d double, own boolean")
+        both = known.select(*cell, "d", F.lit(True).alias("own")).unionByName(met).groupBy(*cell).agg(F.min(F.when(F.col("own"), F.col("d"))).alias("had"), F.min(F.when(~F.col("own"), F.col("d"))).alias("o"))
+        known = cut(both.select(*cell, F.least("had", "o").alias("d"), (F.col("o").isNotNull() & (F.col("had").isNull() | (F.col("o") < F.col("had")))).alias("new")))
+        if known.where("new").isEmpty():
             break
-    return best.where("d is not null").select("r", "c", "d")
+    else:
+        raise RuntimeError(f"costs have not settled in {rounds} rounds")
+    return solved(known, True, "r long, c long, d double")
 
 
 @operator("flow")

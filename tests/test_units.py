@@ -169,6 +169,49 @@ def test_cost_distance_query_against_dijkstra(spark, sf_dir):
     assert got == pytest.approx(best, abs=2e-6)
 
 
+def least_costs(z, start):
+    """Dijkstra's method over a dict of cells."""
+    import heapq
+
+    best, heap = {}, [(0.0, *start)] if start in z else []
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if (i, j) in best:
+            continue
+        best[i, j] = d
+        for a, b in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            if (i + a, j + b) in z and (i + a, j + b) not in best:
+                heapq.heappush(heap, (d + (2**0.5 if a and b else 1.0) * (1 + 5 * (z[i, j] + z[i + a, j + b]) / 200), i + a, j + b))
+    return best
+
+
+def test_cost_distance_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(flow, "_SIDE", 7)
+    rng = random.Random(5)
+    z = {(r, c): float(rng.choice([0, 1, 500])) for r in range(-4, 14) for c in range(-3, 16) if rng.random() > 0.25}
+    z |= {(-4, -3): 1.0, (40, 40): 1.0}  # a cell that no path reaches
+    rows = [(r, c, v) for (r, c), v in z.items()] + [(60, 1, None), (61, 1, float("nan"))]
+    cells = spark.createDataFrame(rows, "r int, c int, z double")
+    want = least_costs(z, (-4, -3))
+    got = {(x.r, x.c): x.d for x in flow.cost_distance(cells, -4, -3).collect()}
+    assert len(want) > 150 and got == pytest.approx(want, abs=1e-9)
+    near = {(x.r, x.c) for x in flow.cost_distance(cells, -4, -3, most=9.0).collect()}
+    assert near == {k for k, v in want.items() if v <= 9.0}
+    assert flow.cost_distance(cells, 39, 39).collect() == []
+    with pytest.raises(RuntimeError):
+        flow.cost_distance(cells, -4, -3, rounds=1)
+
+
+def test_cost_distance_of_a_long_raster_in_time(spark):
+    import time
+
+    # 128 s when a round moved one cell on
+    z = {(k // 40, k % 40): float(k * 31 % 97) for k in range(20_000)}
+    start = time.time()
+    got = {(x.r, x.c): x.d for x in flow.cost_distance(spark.createDataFrame([(*k, v) for k, v in z.items()], "r int, c int, z double"), 0, 0).collect()}
+    assert time.time() - start < 40 and got == pytest.approx(least_costs(z, (0, 0)), abs=1e-9)
+
+
 def against_sql(spark, folder, name, **tables):
     """The rows of a query and of its SQL on small tables."""
     import duckdb
