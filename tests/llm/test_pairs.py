@@ -137,6 +137,43 @@ def test_line_dedup(spark, sf_dir):
     assert line_dedup.dedup_documents(small.where("false")).count() == 0
 
 
+def rows_scanned(spark, run):
+    """Rows that the stages of run() read from files."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def seen():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+    before = seen()
+    run()
+    return seen() - before
+
+
+def test_line_dedup_splits_texts_once(spark, tmp_path):
+    line, n = "one two three four five six", 3000
+    spark.range(n).selectExpr("id as doc_id", f"'{line}' as text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = []
+    scanned = rows_scanned(spark, lambda: kept.extend(line_dedup.kept_lines(docs).collect()))
+    assert [(r.doc_id, r.line) for r in kept] == [(0, 0)]
+    assert n <= scanned < 2 * n  # once to count words and to make sets; no pairs, so no text again
+
+
+def test_line_dedup_order(spark):
+    """Near copies in a group larger than what is compared first, last documents given first, a null id, more words than two bytes name."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    lines = [" ".join(w if rng.random() > 0.05 else f"x{rng.randint(0, 30)}" for w in base) for _ in range(90)]
+    rows = [(90 - i, f"{x}\n{' '.join(base[: 5 + i % 30])}") for i, x in enumerate(lines)]
+    rows += [(None, lines[5]), (-3, lines[6] + "\nfew"), (101, " ".join(f"v{i}" for i in range(70_000)) + "\n" + lines[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_documents(docs).collect()
+    assert {(r.doc_id, t): r.text for r in got for d, t in rows if d == r.doc_id} == brute_lines(rows)
+    assert sum(r.n_lines_removed for r in got) > 100
+
+
 def brute_items(docs, items, threshold=0.8):
     sets = [(i, text.plain_shingles(t), len(text.plain_words(t))) for i, t in items if text.plain_words(t)]
     out = []
